@@ -1,8 +1,15 @@
 """All queries of the training-data operators, with DuckDB counterparts where SQL can say them."""
 
-from loomarc.llm import conversations
+from loomarc.llm import canonical, conversations, pairs, secrets
 
 QUERIES = {
+    "p1_found": pairs.found,
+    "p1_report": pairs.defect_report,
+    "p4_found": secrets.found,
+    "p4_redacted": secrets.redacted,
+    "p6_found": canonical.found,
+    "p6_forms": canonical.forms,
+    "p6_gold_forms": canonical.gold_forms,
     "p7_found": conversations.found,
     "p7_turns": conversations.conversation_turns,
     "p7_report": conversations.window_report,
