@@ -4,8 +4,8 @@ Rows become small *line features* (role, has text, call ids, result id) before a
 shuffled; texts never enter the state. A Structured Streaming query keeps, per
 ``(window, block of lines)``, the latest delivery of each line, buffers late arrivals, and
 emits one *block summary* when the block is closed or times out. Blocks are bounded by
-``LINES_PER_BLOCK`` distinct lines, so a window that holds a third of all rows is spread
-over many keys. Block summaries combine associatively (first and last speaker, an
+``LINES_PER_BLOCK`` distinct lines and spread by hash over state shards, so a window that
+holds a third of all rows lies on many keys. Block summaries combine associatively (first and last speaker, an
 unanswered user inside, call and result line ranges), so the verdict of a window needs
 only its few summaries.
 
@@ -22,6 +22,7 @@ Defined results:
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from loomarc.runtime import scratch_path
 
 LINES_PER_BLOCK = 4096
+ROWS_PER_SHARD = 2048
 
 # What a line is, as bits.
 MESSAGE, INVALID, TEXT, USER, ASSISTANT, RESULT, CLOSING = 1, 2, 4, 8, 16, 32, 64
@@ -136,10 +138,7 @@ def _storable(x: str | None) -> str | None:
     return None if x is None else x.encode("utf-8", "replace").decode()
 
 
-STATE = (
-    "lines array<bigint>, ingested array<bigint>, row_ids array<bigint>, bits array<int>, "
-    "calls array<string>, results array<string>, latest bigint"
-)
+STATE = "blocks binary"
 SUMMARY = (
     "window_id bigint, block bigint, messages bigint, invalid boolean, first_speaker string, last_speaker string, "
     "unanswered boolean, loose boolean, closed boolean, "
@@ -181,52 +180,58 @@ def summarize_block(lines: list[tuple]) -> dict:
     }
 
 
-class BlockState:
-    """The state function of one ``(window_id, block)`` key."""
+class ShardState:
+    """The state function of one shard: the open blocks of some windows.
+
+    A call of a state function costs milliseconds however few rows it gets, so blocks
+    share keys: a shard holds about ``ROWS_PER_SHARD`` rows. It keeps only open blocks,
+    and its timer is set to the earliest of their due times.
+    """
 
     def __init__(self, idle_ms: int, end_of_input_ms: int | None):
         self.idle_ms, self.end_ms = idle_ms, end_of_input_ms
 
     def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lines: dict[int, tuple] = {}
-        latest = 0
-        if state.exists:
-            n, g, r, b, c, t, latest = state.get
-            lines = {x[0]: x[1:] for x in zip(n, g, r, b, map(json.loads, c), t)}
-        if state.hasTimedOut:
+        blocks: dict[tuple, list] = pickle.loads(state.get[0]) if state.exists else {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                columns = [frame[c].tolist() for c in ("window_id", "block", "line_no", "ingested", "row_id", "bits", "calls", "result")]
+                clocks = (frame["clock"].astype("datetime64[ms]").astype("int64")).tolist()
+                for window, block, line, ingested, row_id, bits, calls, result, clock in zip(*columns, clocks):
+                    held = blocks.get((window, block))
+                    if held is None:
+                        held = blocks[(window, block)] = [0, False, {}]
+                    if clock > held[0]:
+                        held[0] = clock
+                    if bits & CLOSING:
+                        held[1] = True
+                    known = held[2].get(line)
+                    if known is None or (ingested, row_id) > known[:2]:
+                        held[2][line] = (ingested, row_id, bits, tuple(calls), result)
+        now = state.getCurrentWatermarkMs()
+        due = [k for k in blocks if state.hasTimedOut and self._due(blocks[k]) <= now]
+        if due:
+            yield self._emit({k: blocks.pop(k) for k in due})
+        if blocks:
+            state.update((pickle.dumps(blocks, protocol=5),))
+            state.setTimeoutTimestamp(max(min(map(self._due, blocks.values())), now + 1))
+        elif state.exists:
             state.remove()
-            yield self._emit(key, lines)
-            return
-        for frame in frames:
-            for n, g, r, b, c, t, when in zip(
-                frame["line_no"], frame["ingested"], frame["row_id"], frame["bits"], frame["calls"], frame["result"],
-                frame["clock"],
-            ):
-                latest = max(latest, int(when.timestamp() * 1000))
-                known = lines.get(n)
-                if known is None or (g, r) > known[:2]:
-                    lines[n] = (int(g), int(r), int(b), list(c), None if t is None or t != t else t)
-        order = sorted(lines)
-        state.update(
-            (
-                [int(n) for n in order], [lines[n][0] for n in order], [lines[n][1] for n in order],
-                [lines[n][2] for n in order], [json.dumps(lines[n][3]) for n in order], [lines[n][4] for n in order], latest,
-            )
-        )
-        due = latest + (0 if any(v[2] & CLOSING for v in lines.values()) else self.idle_ms)
-        if self.end_ms is not None:
-            due = min(due, self.end_ms)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        return
-        yield
-
-    def _emit(self, key: tuple, lines: dict[int, tuple]) -> pd.DataFrame:
-        found = summarize_block([(n, *lines[n][2:]) for n in sorted(lines)])
-        return pd.DataFrame({"window_id": [key[0]], "block": [key[1]], **{k: [v] for k, v in found.items()}})
+
+    def _due(self, held: list) -> int:
+        due = held[0] + (0 if held[1] else self.idle_ms)
+        return due if self.end_ms is None else min(due, self.end_ms)
+
+    def _emit(self, blocks: dict[tuple, list]) -> pd.DataFrame:
+        rows = []
+        for (window, block), (_, _, lines) in blocks.items():
+            found = summarize_block([(n, *lines[n][2:]) for n in sorted(lines)])
+            rows.append({"window_id": window, "block": block, **found})
+        return pd.DataFrame(rows)
 
 
 def stream_summaries(
-    features: DataFrame, idle: str = "1 day", lateness: str = "1 hour", end_of_input_ms: int | None = None
+    features: DataFrame, shards: int, idle: str = "1 day", lateness: str = "1 hour", end_of_input_ms: int | None = None
 ) -> DataFrame:
     """Block summaries of a stream of line features.
 
@@ -237,10 +242,11 @@ def stream_summaries(
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return (
-        features.withWatermark("clock", lateness)
-        .groupBy("window_id", "block")
+        features.withColumn("shard", F.pmod(F.xxhash64("window_id", "block"), F.lit(shards)))
+        .withWatermark("clock", lateness)
+        .groupBy("shard")
         .applyInPandasWithState(
-            BlockState(idle_ms, end_of_input_ms), SUMMARY, STATE, "append", GroupStateTimeout.EventTimeTimeout
+            ShardState(idle_ms, end_of_input_ms), SUMMARY, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -253,7 +259,9 @@ def replay(spark: SparkSession, path: str, lateness: str = "1 hour") -> DataFram
     out. State is kept in RocksDB below the shared folder, not in executor heaps.
     """
     schema = spark.read.parquet(path).schema
-    last = spark.read.parquet(path).agg(F.unix_millis(F.max(F.coalesce("event_ts", "ingested_at").cast("timestamp")))).first()[0]
+    clock = F.coalesce("event_ts", "ingested_at").cast("timestamp")
+    last, count = spark.read.parquet(path).agg(F.unix_millis(F.max(clock)), F.count(F.lit(1))).first()
+    shards = max(16, -(-count // ROWS_PER_SHARD))
     end_ms = None if last is None else last - int(pd.Timedelta(lateness).total_seconds() * 1000) - 1
     where = scratch_path(spark, "conversations")
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -262,7 +270,7 @@ def replay(spark: SparkSession, path: str, lateness: str = "1 hour") -> DataFram
     try:
         rows = spark.readStream.schema(schema).parquet(path + "*")
         query = (
-            stream_summaries(line_features(rows), lateness=lateness, end_of_input_ms=end_ms)
+            stream_summaries(line_features(rows), shards, lateness=lateness, end_of_input_ms=end_ms)
             .writeStream.format("parquet")
             .option("path", where + "/out")
             .option("checkpointLocation", where + "/checkpoint")
