@@ -1,7 +1,7 @@
 """All queries of the core, with their DuckDB counterparts."""
 
-from loomarc.plans import nested_queries
+from loomarc.plans import nested_queries, run_queries, text_queries
 
-FLAGSHIP = "p2_found"
-QUERIES = dict(nested_queries.QUERIES)
-ORACLE = dict(nested_queries.ORACLE)
+FLAGSHIP = "eligible_summary"
+QUERIES = {**nested_queries.QUERIES, **text_queries.QUERIES, **run_queries.QUERIES}
+ORACLE = {**nested_queries.ORACLE, **text_queries.ORACLE, **run_queries.ORACLE}
