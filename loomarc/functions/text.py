@@ -24,6 +24,15 @@ _EDGES = r"(?U)^\s+|\s+$"
 _SPACE = r"(?U)\s"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    Expressions are trees: a rule that names its input twice doubles what it is built on,
+    and a chain of ten such rules would have a thousand copies. A lambda variable has one.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def trim_unicode(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, _EDGES, "")
@@ -76,7 +85,7 @@ def normalize_exact_for_item(item_id: Column, text: Column) -> Column:
 
 def clauses(gold: Column) -> Column:
     """Normalised clauses of two or more characters."""
-    pieces = F.transform(F.split(gold, rf"(?U)[\s{CLAUSE_ENDS}]"), normalize_answer)
+    pieces = F.transform(F.split(gold, rf"(?U)[\s{CLAUSE_ENDS}]"), lambda c: normalize_answer(c))
     return F.filter(pieces, lambda c: F.length(c) >= 2)
 
 
@@ -97,8 +106,8 @@ def normalize_ocr(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; a final line end opens no further line, CR LF ends one line."""
-    body = F.regexp_replace(text, r"\r?\n\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n", -1))
+    empty = F.array().cast("array<string>")
+    return bound(text, lambda t: F.when(t == "", empty).otherwise(F.split(F.regexp_replace(t, r"\r?\n\z", ""), r"\r?\n", -1)))
 
 
 def is_noise_line(line: Column) -> Column:
@@ -151,8 +160,8 @@ def strip_code_blocks(text: Column) -> Column:
         kept = F.when(x["fence"] | state["inside"], state["kept"]).otherwise(F.array_append(state["kept"], x["line"]))
         return F.struct(inside.alias("inside"), kept.alias("kept"))
 
-    out = F.aggregate(numbered, start, step, lambda s: s["kept"])
-    return F.when(F.size(out) == 0, F.when(text.isNotNull(), F.lit(""))).otherwise(F.concat(F.array_join(out, "\n"), F.lit("\n")))
+    kept = F.aggregate(numbered, start, step, lambda s: s["kept"])
+    return bound(kept, lambda k: F.when(F.size(k) == 0, F.lit("")).otherwise(F.concat(F.array_join(k, "\n"), F.lit("\n"))))
 
 
 def slug(text: Column, keep_dots: bool = False) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Client = Callable[[list[dict]], list[str | None]]
 
@@ -26,7 +27,7 @@ def complete(requests: DataFrame, client: Client, batch: int = 64) -> DataFrame:
                 part = frame.iloc[start : start + batch]
                 yield part.assign(answer=client(part.to_dict("records")))
 
-    return requests.mapInPandas(run, requests.schema.add("answer", "string"))
+    return requests.mapInPandas(run, T.StructType([*requests.schema, T.StructField("answer", T.StringType())]))
 
 
 def replay(requests: DataFrame, recorded: DataFrame, *keys: str) -> DataFrame:

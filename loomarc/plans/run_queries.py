@@ -12,7 +12,7 @@ from loomarc.operators import sessions as SE
 from loomarc.operators import summary as SU
 from loomarc.operators import windows as W
 from loomarc.plans import sql as S
-from loomarc.runtime import small_or_shuffled, table
+from loomarc.runtime import materialize, small_or_shuffled, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -105,15 +105,15 @@ def ocr_metrics(spark, sf_dir):
 
 
 def _cases(spark, sf_dir):
-    """Runs are variants; a case's result is its first answer."""
+    """Runs are variants; a case's result is its first answer. Scored once, as the summaries read it several times."""
     scored = _scored(spark, sf_dir)
-    results = scored.select(F.col("variant").alias("run"), F.col("qa_id").alias("id"), F.struct("answered_at", "answer_id").alias("position"), "correct", "exact_match", "f1", "match_kind")
-    cases = table(spark, sf_dir, "recall_qa").select(F.col("qa_id").alias("id"), F.substring_index("qa_id", "-", 1).alias("task"), F.coalesce("score", F.lit("semantic")).alias("score"))
-    runs = scored.select(F.col("variant").alias("run"), F.col("qa_id").alias("id")).distinct()
+    results = scored.select(F.col("variant").alias("run"), F.col("qa_id").alias("id"), F.struct("answered_at", "answer_id").alias("position"), "correct", "exact_match", "f1", "match_kind", "score")
+    kept = materialize(results, "scored-answers")
     mode = F.when(F.col("run").startswith("text"), "text").otherwise("image")
-    known = runs.join(small_or_shuffled(cases), "id").withColumn("mode", mode)
+    known = kept.select("run", "id").distinct().withColumns({"mode": mode, "task": F.substring_index("id", "-", 1)})
     frames = F.when(F.col("mode") == "text", 0).otherwise(F.length("id") % 5 + 1).cast("bigint")
-    return SU.case_rows(known, results).withColumns({"frames": frames, "chars_per_frame": F.when(F.col("mode") == "text", 0.0).otherwise(F.length("id") * 10.0)})
+    rows = SU.case_rows(known, kept)
+    return materialize(rows.withColumns({"frames": frames, "chars_per_frame": F.when(F.col("mode") == "text", 0.0).otherwise(F.length("id") * 10.0)}), "cases")
 
 
 _CASES = _SCORED + """, o AS (SELECT *, row_number() OVER (PARTITION BY variant, qa_id ORDER BY answered_at NULLS FIRST, answer_id) AS rn FROM s
