@@ -12,7 +12,8 @@ only its few summaries.
 Defined results:
 
 * null window id or line number: no conversation can hold the row; it is left out.
-* null event time: the row counts as arrived with its ingestion time, else at the epoch.
+* null event time: the row counts as arrived with its ingestion time, else at ``EARLIEST``,
+  which also replaces earlier times.
 * equal window, line and ingestion time: the larger row id counts.
 * a message that is null, not JSON or no JSON object: ``broken`` for its window.
 * a window without messages: ``empty``. An empty table: no rows.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,6 +36,8 @@ from loomarc.runtime import scratch_path
 
 LINES_PER_BLOCK = 4096
 ROWS_PER_SHARD = 2048
+#: Event time of rows that have none or an earlier one.
+EARLIEST = "1971-01-01"
 
 # What a line is, as bits.
 MESSAGE, INVALID, TEXT, USER, ASSISTANT, RESULT, CLOSING = 1, 2, 4, 8, 16, 32, 64
@@ -88,6 +91,12 @@ FEATURES = (
 )
 
 
+def clock() -> Column:
+    """The event time of a row; never at or below the epoch, where a watermark starts and would drop it."""
+    seen = F.coalesce(F.col("event_ts").cast("timestamp"), F.col("ingested_at").cast("timestamp"))
+    return F.coalesce(F.greatest(seen, F.lit(EARLIEST).cast("timestamp")), F.lit(EARLIEST).cast("timestamp"))
+
+
 def line_features(rows: DataFrame) -> DataFrame:
     """Line features of message rows; one Arrow pass, no shuffle, the texts stop here.
 
@@ -126,9 +135,7 @@ def line_features(rows: DataFrame) -> DataFrame:
             F.coalesce("row_id", F.lit(-1)).alias("row_id"),
             kind.alias("kind"),
             F.when(kind == "message", F.col("message")).alias("message"),
-            F.coalesce(F.col("event_ts"), F.col("ingested_at"), F.lit("1970-01-01").cast("timestamp"))
-            .cast("timestamp")
-            .alias("clock"),
+            clock().alias("clock"),
         )
         .mapInArrow(run, FEATURES)
     )
@@ -251,18 +258,17 @@ def stream_summaries(
     )
 
 
-def replay(spark: SparkSession, path: str, lateness: str = "1 hour") -> DataFrame:
+def replay(spark: SparkSession, path: str) -> DataFrame:
     """Run the streaming query over a finite table until all of it is emitted.
 
     The table arrives in one micro-batch: no row is late against a watermark that has
-    not moved yet, so wrong clocks drop nothing. The batch after it times every block
-    out. State is kept in RocksDB below the shared folder, not in executor heaps.
+    not moved yet, so wrong clocks drop nothing, and no lateness has to be allowed for.
+    The batch after it times every block out. State is kept in RocksDB below the shared folder, not in executor heaps.
     """
     schema = spark.read.parquet(path).schema
-    clock = F.coalesce("event_ts", "ingested_at").cast("timestamp")
-    last, count = spark.read.parquet(path).agg(F.unix_millis(F.max(clock)), F.count(F.lit(1))).first()
+    last, count = spark.read.parquet(path).agg(F.unix_millis(F.max(clock())), F.count(F.lit(1))).first()
     shards = max(16, -(-count // ROWS_PER_SHARD))
-    end_ms = None if last is None else last - int(pd.Timedelta(lateness).total_seconds() * 1000) - 1
+    end_ms = None if last is None else last - 1
     where = scratch_path(spark, "conversations")
     provider = "spark.sql.streaming.stateStore.providerClass"
     kept = spark.conf.get(provider)
@@ -270,7 +276,7 @@ def replay(spark: SparkSession, path: str, lateness: str = "1 hour") -> DataFram
     try:
         rows = spark.readStream.schema(schema).parquet(path + "*")
         query = (
-            stream_summaries(line_features(rows), shards, lateness=lateness, end_of_input_ms=end_ms)
+            stream_summaries(line_features(rows), shards, lateness="0 seconds", end_of_input_ms=end_ms)
             .writeStream.format("parquet")
             .option("path", where + "/out")
             .option("checkpointLocation", where + "/checkpoint")
