@@ -47,7 +47,7 @@ _HEADING = re.compile(r"(?m)^[ \t]*(?:#{1,6}[ \t][^\n]*|={3,}[^\n]*|-{3,}[^\n]*|
 _MARK = re.compile(r"(?m)^[ \t]*(?:[A-Z]:|｜ T\d+ [A-Z]:|\[\d+\]|[-*+>•]|\d{1,3}[.)])[ \t]+")
 _QUOTED = re.compile(r"“[^”\n]{1,80}”|„[^“”\n]{1,80}[“”]|«[^»\n]{1,80}»|「[^」\n]{1,60}」|『[^』\n]{1,60}』|\"[^\"\n]{1,80}\"|`[^`\n]{1,120}`|(?<!\w)'[^'\n]{1,40}'(?!\w)|‘[^’\n]{1,60}’(?!\w)")
 _CODE_LINE = re.compile(
-    r"(?m)^(?:[ \t]{2,}[^\n]*[;{}()\[\]=:][^\n]*|[ \t]*(?:import|from|use|using|package|def|class|return|public|private|protected|const|let|var|fn|impl|struct|namespace|raise|if|for|while|export|async|await|throw|try|catch)\b"
+    r"(?m)^(?:[ \t]{2,}[^\n]*[;{}()\[\]=:][^\n]*|[ \t]{2,}(?:return|pass|break|continue|else|end)\b[^\n]*|[ \t]*(?:import|from|use|using|package|def|class|return|public|private|protected|const|let|var|fn|impl|struct|namespace|raise|if|for|while|export|async|await|throw|try|catch)\b"
     r"[^\n.]*[;{}()\[\]=:_.][^\n]*|[ \t]*[}\])][^\n]{0,3}|[^\n]*(?:[;{}]|\);?|=>)[ \t]*|[ \t]*(?://|/\*|\*/|#!|#[^ #])[^\n]*|[ \t]*import[ \t]+\w+)$"
 )
 _PATHLIKE = re.compile(r"[^\s（(，。、]*[\\/_=@][^\s）)，。、]*")

@@ -14,7 +14,7 @@ Defined results:
   sources are reported with 0. Negative or null shares count as 0, null repeats as 1.
 * null and empty texts have no tokens and never enter; documents without a listed source
   neither. A document id delivered twice is one document.
-* equal hashes are ordered by document id; the seed changes the order.
+* the shuffled order of a source is by bucket, hash and document id; the seed changes it.
 * ``total`` defaults to the largest total at which every source keeps its share within its
   repeats. With a larger one, sources that run dry end early and the reported shares show it.
 * an empty table of documents or targets gives no rows (shares: one row per listed source).

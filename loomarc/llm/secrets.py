@@ -104,7 +104,7 @@ _URL_PARAMETER = re.compile(r"""[?&;]([\w.-]+)=([^&\s"'`<>#;]+)""")
 _AUTH_HEADER = re.compile(r"""(?i)authorization\\?["']?\]?\s*[:=,]\s*(?:value:\s*)?\\?["'`]?\s*(?:bearer|basic|token|digest)\s+([A-Za-z0-9+/_.=~-]{6,})""")
 _FLAG = re.compile(r"""(?<![\w-])--([A-Za-z][\w-]*)(?:=|\s+)["']?([^\s"'`]+)""")
 _TOOL_PASSWORD = re.compile(r"""(?:\bsshpass\s+-p\s*|(?<![\w-])(?:-u|--user)[ =]+["']?[^\s:"'/]+:|\bmysql\b[^\n]*?\s-p)([^\s"'`]+)""")
-_EMBEDDED = re.compile(r"""\\?["']([A-Za-z_][\w.-]*)\\?["']\s*[:=]\s*\\?["']((?:(?!\\?["']).)+)\\?["']""")
+_EMBEDDED = re.compile(r"""["'](?=([A-Za-z_][\w.-]*)\\?["']\s*[:=]\s*\\?["']((?:(?!\\?["']).)+)\\?["'])""")
 _PROSE = re.compile(
     r"""(?i)(?<![A-Za-z_-])(?:""" + PROSE_WORDS + r""")(?![A-Za-z_-])[^\n"'`=]{0,30}?(?:\bis\b|\bwas\b|[:：=]|是|は)\s*(?:[A-Za-z]+\s*/\s*)?([^\s"'`,;）)]{6,})"""
 )

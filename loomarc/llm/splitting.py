@@ -33,7 +33,8 @@ _TURN = re.compile(r"(?m)\n(?=(?:｜ T\d+ )?[A-Z]: |# \S[^\n]* ¶$)")
 _LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)\s|[。！？｡]+[”’」』）]*")
 _WORD = re.compile(r"\s+|(?<=[，、；：])|(?<=[぀-ヿ㐀-鿿])(?=[^぀-ヿ㐀-鿿\s])")
-_COMPLEX = regex.compile(r"[\p{M}\p{Cf}\p{RI}\p{Emoji_Modifier}ᄀ-ᇿ\r]")
+# Any character outside the ranges in which every code point is a character of its own.
+_COMPLEX = re.compile("[^\\x00-\\x0c\\x0e-\\x7e\\xa0-\\xac\\xae-\\u02ff\\u0370-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u3000-\\u3029\\u3031-\\u303c\\u3041-\\u3096\\u309d-\\u30ff\\u3400-\\u9fff\\uff01-\\uff9d]")
 _CLUSTER = regex.compile(r"\X")
 
 

@@ -1,0 +1,66 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomarc.llm import secrets as S
+
+HEX = "29fbce1b95817cfb3550cc367a984c3d"
+
+
+@pytest.mark.parametrize(
+    ("text", "code", "lines"),
+    [
+        (f'api_key = "{HEX}"', True, [1]), (f"a\ncfg['dbPass'] = 'Lo.Ka-7'\r\n", True, [2]), ('props.setProperty("root_pass", "Losel-buffer-29");', True, [1]),
+        ("- {name: smtp_password, value: \"Kaka_oXrkB#7\"}", False, [1]), ("export CLIENT_SECRET='z9C6W8ISlDEeA0'", False, [1]), ("DB_PWD=Pinfi3151!", False, [1]),
+        ("x = db_token", True, []), ("db_token = settings.token", True, []), ('token_type = "bearer"', True, []), ('secret = "${SECRET}"', True, []), ('passwd = "<redacted>"', True, []),
+        ('k = os.environ["API_KEY"]', True, []), ('api_key = System.getenv("API_KEY");', True, []), ('css = "sk-spinner-fading-circle"', True, []), ('u = "postgres://svc@db.x/y"', True, []),
+        ('u = "redis://svc:Quaari6842!@h:1/x"', True, [1]), (f"# GET https://h/v?access_token={HEX}&page=2", True, [1]), ("// curl -u svc:Tupin8060! https://h", True, [1]),
+        ("// curl -H 'Authorization: Basic c3ZjOnJlY29yZA==' https://h", True, [1]), ("# sshpass -p Arisel-quota-92 ssh a@b", True, [1]), (f"# run: deploy --token={HEX}", True, [1]),
+        ("# old login: admin / Galm_71VQ3#6", True, [1]), ("# 旧密码：Tuvi1710!", True, [1]), ("# the token counter merges 12 marks", True, []), ("# never commit a password here", True, []),
+        ('# payload {"user": "svc", "passwd": "Zorwenvi3154!"}', True, [1]), ('"p": "{\\"dbPass\\": \\"Zor-1-vi\\"}"', False, [1]), ('a = "AKIAIZYZWDZHRG" + "TIHDQG"', True, [1]),
+        (f'webhook_secret = (\n    "{HEX[:9]}"\n    "{HEX[9:]}")', True, [2]), (f"private_token: >-\n    {HEX}\nx: 1", False, [2]), (f"checksum: {HEX}", False, []), ("", False, []),
+    ],
+)
+def test_findings(text, code, lines):
+    redacted, found = S.redact(text, code)
+    assert found == lines
+    assert S.redact(redacted, code) == (redacted, [])
+    assert redacted.count("\n") == text.count("\n")
+
+
+BODY = "".join(f"{'MIIEpQIBAAKCAQEA7' * 4}\n" for _ in range(3))
+
+
+@pytest.mark.parametrize("kind", ["PRIVATE KEY", "RSA PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "OPENSSH PRIVATE KEY"])
+def test_key_blocks(kind):
+    block = f"-----BEGIN {kind}-----\n{BODY}-----END {kind}-----"
+    redacted, lines = S.redact(f"x\n{block}\ny", True)
+    assert lines == [2] and "MIIE" not in redacted and redacted.startswith(f"x\n-----BEGIN {kind}-----\n") and redacted.endswith("-----\ny")
+    inline = 'pem = "' + block.replace("\n", "\\n") + '"'
+    assert S.redact(inline, True)[1] == [1] and S.redact(inline, True)[0].count("\\n") == inline.count("\\n")
+    commented = "\n".join("# " + line for line in block.split("\n"))
+    out, lines = S.redact(commented, True)
+    assert lines == [1] and all(line.startswith("# ") for line in out.split("\n"))
+    unfinished = f"-----BEGIN {kind}-----\n{BODY}def f():\n    root_pass = 'Losel-29'\n"
+    assert S.redact(unfinished, True)[1] == [1, 6]
+
+
+def test_public_blocks_stay():
+    for kind in ("PUBLIC KEY", "CERTIFICATE"):
+        text = f"-----BEGIN {kind}-----\n{BODY}-----END {kind}-----"
+        assert S.redact(text, True) == (text, [])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1\"'`\\\n=:{}()#/-_ .+@", max_size=120))
+def test_any_text_is_survived(text):
+    redacted, lines = S.redact(text, False)
+    assert redacted.count("\n") == text.count("\n") and all(1 <= n <= text.count("\n") + 1 for n in lines)
+
+
+def test_scan(spark):
+    rows = [(1, f'api_key = "{HEX}"', "python", None, 5), (2, None, None, "a.py", 5), (3, "", "x", "b", 5), (1, f'api_key = "{HEX}"', "python", None, 5)]
+    df = spark.createDataFrame(rows, "output_id bigint, content string, language string, file_path string, redacted int")
+    got = sorted((r["output_id"], r["redacted"], r["secret_lines"]) for r in S.scan(df, "output_id", "content", "language", "file_path").collect() if r["output_id"] != 2)
+    assert got == [(1, 'api_key = "REDACTED"', [1]), (1, 'api_key = "REDACTED"', [1]), (3, "", [])]
+    assert S.scan(df.limit(0), "output_id", "content").count() == 0
