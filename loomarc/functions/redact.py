@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomarc.functions.text import lines
+from loomarc.functions.text import bound, lines
 
 # Keys in the order in which their rules are applied.
 KEYS = ("OPENAI_API_KEY", "ANTHROPIC_API_KEY", "GEMINI_API_KEY", "API_KEY", "TOKEN")
@@ -45,8 +45,13 @@ def sk_tokens(text: Column) -> Column:
 
 
 def redact(text: Column, home: str | None = None) -> Column:
-    """Home folder, then for each key the colon and the ``=`` rule, then ``sk-`` tokens."""
+    """Home folder, then for each key the colon and the ``=`` rule, then ``sk-`` tokens.
+
+    A key's rules are tried only on texts that hold it; the line ends they leave behind are
+    brought about once for all texts.
+    """
     out = F.replace(text, F.lit(home), F.lit("~")) if home else text
+    out = _per_line(out, lambda x: x)
     for key in KEYS:
-        out = assignment(colon_value(out, key), key)
+        out = bound(out, lambda t, key=key: F.when(F.contains(t, F.lit(key)), assignment(colon_value(t, key), key)).otherwise(t))
     return sk_tokens(out)

@@ -74,3 +74,11 @@ def test_lcs():
         a, b = ("".join(rng.choice("abc甲😀") for _ in range(rng.randint(0, 90))) for _ in "ab")
         assert L.lcs_length(a, b) == table(a, b)
     assert L.char_f1("", "") == 1.0 and L.char_f1("a", "") == 0.0 and L.char_f1("ab", "cd") == 0.0
+
+
+def test_redaction_skips_only_what_has_no_key(spark, small):
+    chained = F.col("content")
+    for key in R.KEYS:
+        chained = R.assignment(R.colon_value(chained, key), key)
+    df = spark.read.parquet(f"{small}/tool_outputs.parquet")
+    assert df.where(~R.sk_tokens(chained).eqNullSafe(R.redact(F.col("content")))).count() == 0
