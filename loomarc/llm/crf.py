@@ -105,32 +105,35 @@ class Chain:
                 beta = (np.exp(e - e.max(1, keepdims=True)) * beta) @ move.T
                 beta /= beta.sum(1, keepdims=True)
 
-    def pair_counts(self, emission, starts, lengths) -> np.ndarray:
-        """Expected transitions of a batch (for learning)."""
+    def expectations(self, emission: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state probabilities of each word, expected transitions) of a batch, in one recursion (for learning)."""
         move = np.exp(self.transitions - self.transitions.max()).astype(np.float32)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = starts[order], lengths[order]
-        longest = int(lengths[0])
+        longest, k = int(lengths[0]), emission.shape[1]
         active = np.searchsorted(-lengths, -np.arange(longest), side="left")
+        level = np.exp(emission - emission.max(1, keepdims=True))
         alphas = []
         for t in range(longest):
-            n = active[t]
-            e = np.exp(emission[starts[:n] + t] - emission[starts[:n] + t].max(1, keepdims=True))
-            alpha = e if t == 0 else (alphas[-1][:n] @ move) * e
+            e = level[starts[: active[t]] + t]
+            alpha = e if t == 0 else (alphas[-1][: active[t]] @ move) * e
             alphas.append(alpha / alpha.sum(1, keepdims=True))
-        total = np.zeros_like(self.transitions)
-        beta = np.ones((0, emission.shape[1]), np.float32)
-        for t in range(longest - 1, 0, -1):
+        out, total = np.empty_like(emission), np.zeros_like(self.transitions)
+        beta = np.ones((0, k), np.float32)
+        for t in range(longest - 1, -1, -1):
             n = active[t]
             if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), emission.shape[1]), np.float32)])
-            e = emission[starts[:n] + t]
-            right = np.exp(e - e.max(1, keepdims=True)) * beta
-            joint = alphas[t - 1][:n, :, None] * move[None] * right[:, None, :]
-            total += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            beta = right @ move.T
-            beta /= beta.sum(1, keepdims=True)
-        return total
+                beta = np.concatenate([beta, np.ones((n - len(beta), k), np.float32)])
+            at = starts[:n] + t
+            gamma = alphas[t] * beta
+            out[at] = gamma / gamma.sum(1, keepdims=True)
+            if t:
+                right, left = level[at] * beta, alphas[t - 1][:n]
+                size = ((left @ move) * right).sum(1, keepdims=True)
+                total += move * ((left / size).T @ right)
+                beta = right @ move.T
+                beta /= beta.sum(1, keepdims=True)
+        return out, total
 
 
 def learn(sequences: list[tuple[list[str], list[int]]], states: tuple[str, ...] = PROSE, rounds: int = 40, rate: float = 0.4, decay: float = 1e-4) -> Chain:
@@ -151,7 +154,8 @@ def learn(sequences: list[tuple[list[str], list[int]]], states: tuple[str, ...]
     flat = table.ravel()
     for _ in range(rounds):
         emission = chain.weights[table].sum(1)[ids]
-        error = -chain.marginals(emission, starts, lengths)
+        probability, moved = chain.expectations(emission, starts, lengths)
+        error = -probability
         error[np.arange(len(gold)), gold] += 1
         by_word = np.zeros((len(vocabulary), k), np.float32)
         for s in range(k):
@@ -164,7 +168,7 @@ def learn(sequences: list[tuple[list[str], list[int]]], states: tuple[str, ...]
         gradient[WIDTH] = 0
         squares += gradient**2
         chain.weights += rate * gradient / np.sqrt(squares)
-        t_gradient = (seen - chain.pair_counts(emission, starts, lengths)) / len(sequences) - decay * chain.transitions
+        t_gradient = (seen - moved) / len(sequences) - decay * chain.transitions
         t_squares += t_gradient**2
         chain.transitions += rate * t_gradient / np.sqrt(t_squares)
     return chain

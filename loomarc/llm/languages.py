@@ -166,7 +166,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Chain:
     count = max(documents.count(), 1)
     step = max(1, count // sample)
     chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    rows = chosen.select("text", "lang").where(F.col("text").isNotNull() & F.length("text").between(1, 20_000)).limit(2 * sample).toArrow()
+    rows = chosen.select("text", "lang").where(F.col("text").isNotNull() & F.length("text").between(1, 8_000)).limit(2 * sample).toArrow()
     return fit_texts(zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist()), seed)
 
 
@@ -185,22 +185,15 @@ def fit_texts(labelled: Iterator[tuple[str, str | None]], seed: int = 7) -> Chai
     rng.shuffle(kept)
     kept = kept[: 3 * PARAGRAPHS]
     # What the labels of the whole sample say of each word decides which paragraphs are doubtful.
-    counts: dict[str, Counter] = defaultdict(Counter)
-    totals = Counter()
-    for words, state in kept:
-        for w in set(words):
-            for unit in (w, w[:2], w[-3:], *w[:12]) if w[0] >= "぀" else (w, w[-3:]):
-                counts[unit][state] += 1
+    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(PROSE)))
+    totals = np.zeros(len(PROSE))
+    units = [{u for w in set(words) for u in ((w, w[:2], w[-3:], *w[:12]) if w[0] >= "぀" else (w, w[-3:]))} for words, _ in kept]
+    for own, (_, state) in zip(units, kept):
+        for unit in own:
+            counts[unit][state] += 1
         totals[state] += 1
-    agreed = []
-    for words, state in kept:
-        score = np.zeros(len(PROSE))
-        for w in set(words):
-            for unit in (w, w[:2], w[-3:], *w[:12]) if w[0] >= "぀" else (w, w[-3:]):
-                seen = counts[unit]
-                score += np.log([(seen[s] + 0.05) / (totals[s] + 1) for s in range(len(PROSE))])
-        if int(score.argmax()) == state:
-            agreed.append((words, state))
+    says = dict(zip(counts, np.log((np.array([*counts.values()]) + 0.05) / (totals + 1)))) if counts else {}
+    agreed = [pair for own, pair in zip(units, kept) if int(sum(says[u] for u in own).argmax()) == pair[1]]
     # Frequent languages are thinned so that each has a fair part of the sample.
     quota = PARAGRAPHS // len(PROSE) * 2
     taken, chosen = Counter(), []
