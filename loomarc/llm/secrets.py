@@ -287,6 +287,9 @@ def _merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _name_before(left: str) -> str | None:
+    line = left[left.rfind("\n") + 1 :]
+    if line.strip(" \t(") and "value" not in line:  # else the name may stand on the line before
+        left = line
     last = left.rstrip()
     last = last.rstrip("rRbBuUfF$@").rstrip()[-1:] or last[-1:]
     if last not in {"=", ":", ",", "(", "-"}:
