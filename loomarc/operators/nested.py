@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomarc.runtime import spread
+
 NODE_SCHEMA = (
     "record_id bigint, node_path string, parent_path string, depth int, in_array boolean, "
     "variant string, shape bigint, attrs map<string,string>"
@@ -305,7 +307,7 @@ def nodes(df: DataFrame, id_col: str, json_col: str, attributes: bool = True, ke
     rows = rows.where(F.col("record").isNotNull())
     if not keep_root:
         rows = rows.where(F.col("record").contains("[") & F.col("record").contains("{"))
-    return rows.mapInArrow(run, NODE_SCHEMA)
+    return spread(rows).mapInArrow(run, NODE_SCHEMA)
 
 
 def element_links(df: DataFrame, id_col: str, json_col: str) -> DataFrame:

@@ -65,18 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_splits(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
-    """Spread a scan that lands in fewer partitions than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores, for a heavy stage behind it.
 
-    Parquet row groups are the finest split a scan has, so one small file feeds one core
-    however heavy the Python stage behind it is. Counted from file metadata only; a table
-    that already has enough splits is left alone (no shuffle at scale).
+    A row group is the finest split of a scan, so one small file feeds one core. Only file
+    metadata is looked at. A table with a split per core or more is left as it is, so at
+    scale there is no shuffle. Use it on plain scans only (filters and projections).
     """
-    spark = df.sparkSession
-    cores = max(spark.sparkContext.defaultParallelism, 1)
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    cores = max(scan.sparkSession.sparkContext.defaultParallelism, 1)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def fits_broadcast(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
