@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomarc.llm.tokens import DEFAULT, MEMORY, TOKENIZERS, Words, load_ranks
+from loomarc.runtime import spread
 
 # ``alone`` marks ranks after which a lower rank may appear beside the merged token; of
 # those only the leftmost pair is contracted in a step. Of all others every pair of the
@@ -180,7 +181,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, name: str = DEFAULT, fo
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias(id_col), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, f"`{id_col}` bigint, ids array<int>")
+    return spread(rows).mapInArrow(run, f"`{id_col}` bigint, ids array<int>")
 
 
 def decode(ids: list[int], ranks: dict[bytes, int]) -> str:

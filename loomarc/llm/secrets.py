@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomarc.runtime import spread
+
 REDACTED = "REDACTED"
 
 # Words that name a credential when an identifier ends with them.
@@ -365,7 +367,7 @@ def scan(df: DataFrame, id_col: str, content_col: str, language_col: str | None
     schema = T.StructType(
         [df.schema[id_col], T.StructField("redacted", T.StringType()), T.StructField("secret_lines", T.ArrayType(T.IntegerType()))]
     )
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(run, schema)
 
 
 def _scanned(spark, sf_dir):
