@@ -136,7 +136,7 @@ class Chain:
         return out, total
 
 
-def learn(sequences: list[tuple[list[str], list[int]]], states: tuple[str, ...] = PROSE, rounds: int = 40, rate: float = 0.4, decay: float = 1e-4) -> Chain:
+def learn(sequences: list[tuple[list[str], list[int]]], states: tuple[str, ...] = PROSE, rounds: int = 25, rate: float = 0.4, decay: float = 1e-4) -> Chain:
     """Fit a chain to labelled word sequences (Adagrad on the regularized likelihood)."""
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in sequences for w in words))}
     table = feature_table(vocabulary)

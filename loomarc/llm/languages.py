@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from loomarc.llm.crf import STRETCH, Chain, learn
 from loomarc.llm.labels import CODE, PROSE, language_code
+from loomarc.runtime import spread
 
 #: Documents of which the field is fitted at most, and paragraphs used of them.
 SAMPLE, PARAGRAPHS = 6_000, 8_000
@@ -255,7 +256,7 @@ def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
                     names=["doc_id", "label", "languages", "confidence"],
                 )
 
-    rows = documents.select("doc_id", F.col("lang").alias("label"), "text")
+    rows = spread(documents.select("doc_id", F.col("lang").alias("label"), "text"))
     return rows.mapInArrow(run, "doc_id bigint, label string, languages array<string>, confidence double")
 
 
@@ -297,7 +298,7 @@ def label_segments(documents: DataFrame, chain: Chain) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "segment_no", "start", "end", "lang", "confidence"])
 
-    return documents.select("doc_id", F.col("lang").alias("label"), "text").mapInArrow(run, SEGMENTS)
+    return spread(documents.select("doc_id", F.col("lang").alias("label"), "text")).mapInArrow(run, SEGMENTS)
 
 
 def _stretches(body, start, end, words, p, w, states) -> list[tuple[int, int, str, float]]:

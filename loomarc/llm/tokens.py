@@ -148,4 +148,5 @@ def with_tokens(df: DataFrame, id_col: str, text_col: str, keep: list[str], name
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=[*columns, "tokens"])
 
     schema = T.StructType([*(df.schema[c] for c in columns), T.StructField("tokens", T.LongType())])
-    return df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+    rows = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, schema)
