@@ -181,8 +181,11 @@ class TreeAutomaton:
         return "untyped"
 
 
-def walk(root, automaton: TreeAutomaton | None, attributes: bool):
-    """Yield (path, parent, depth, in_array, variant, shape, attrs) of each object."""
+def walk(root, automaton: TreeAutomaton | None, attributes: bool, values: list[tuple] | None = None):
+    """Yield (path, parent, depth, in_array, variant, shape, attrs) of each object.
+
+    ``values``, where given, takes (path, parent, kind, text) of each scalar array element.
+    """
     stack = [(root, "", "", 0, False)]
     order = []
     shapes: dict[int, tuple[int, str]] = {}
@@ -223,6 +226,12 @@ def walk(root, automaton: TreeAutomaton | None, attributes: bool):
                 if isinstance(v, (dict, list))
             )
         else:
+            if values is not None:
+                values.extend(
+                    (f"{path}[{i}]", parent, TreeAutomaton.SCALARS[type(v)], _scalar_text(v))
+                    for i, v in enumerate(value)
+                    if not isinstance(v, (dict, list))
+                )
             stack.extend(
                 (v, f"{path}[{i}]", parent, depth + 1, isinstance(v, dict))
                 for i, v in reversed([*enumerate(value)])
@@ -316,6 +325,48 @@ def element_links(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return found.select(F.col("record_id").alias(id_col), "node_path", "parent_path")
 
 
+VALUE_SCHEMA = "record_id bigint, node_path string, parent_path string, kind string, value string"
+
+
+def array_values(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """One row for each scalar that is an array element, at any depth.
+
+    ``node_path`` ends in the position, ``parent_path`` links as in ``nodes``; ``kind`` is
+    string, number, bool or null, and numbers are kept as written. One pass, no shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = ([], [], [], [], [])
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    root = parse(text)
+                except ValueError:
+                    continue
+                if not isinstance(root, (dict, list)):
+                    continue
+                values: list[tuple] = []
+                walk(root, None, False, values)
+                for path, parent, kind, value in values:
+                    for column, x in zip(out, (rid, _clean(path), _clean(parent), kind, value)):
+                        column.append(x)
+                if len(out[0]) >= 20_000:
+                    yield _batch(out)
+                    out = ([], [], [], [], [])
+            if out[0]:
+                yield _batch(out)
+
+    def _batch(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])],
+            names=["record_id", "node_path", "parent_path", "kind", "value"],
+        )
+
+    text = F.col(f"`{json_col}`")
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("record_id"), text.alias("record"))
+    return spread(rows.where(F.col("record").contains("["))).mapInArrow(run, VALUE_SCHEMA)
+
+
 def _attr(name: str, kind: str = "string") -> Column:
     return F.try_element_at("attrs", F.lit(name)).try_cast(kind)
 
@@ -336,7 +387,9 @@ def subtype_tables(all_nodes: DataFrame) -> dict[str, DataFrame]:
     Each table keeps the supertype keys, so ``(record_id, parent_path)`` of one joins
     ``(record_id, node_path)`` of any other. ``attrs`` keeps every scalar field, so fields
     that come and go are in the typed column where the subtype has one and in the map
-    otherwise; nothing is lost.
+    otherwise. Scalars that are array elements belong to no object's fields: they are the
+    rows of ``array_values``, whose ``parent_path`` joins in the same way. An empty array
+    holds no value and shows only in the shape.
     """
     keys = ["record_id", "node_path", "parent_path", "depth", "in_array", "shape"]
     return {

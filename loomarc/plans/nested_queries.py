@@ -44,11 +44,15 @@ def p2_messages(spark, sf_dir):
     )
 
 
+def p2_array_values(spark, sf_dir):
+    return nested.array_values(table(spark, sf_dir, "session_events"), "row_id", "message")
+
+
 def p2_shapes(spark, sf_dir):
     return nested.shape_catalog(_nodes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_messages, p2_text_parts, p2_tool_calls, p2_shapes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_messages, p2_text_parts, p2_tool_calls, p2_array_values, p2_shapes)}
 
 #: DuckDB reads the same objects with a recursive walk of the JSON tree.
 _WALK = """
@@ -85,4 +89,10 @@ WHERE json_type(j) = 'OBJECT' AND j->>'$.type' = 'toolCall' AND json_type(j, '$.
     "p2_text_parts": _WALK
     + """SELECT row_id AS record_id, node_path, parent_path, j->>'$.text' AS text FROM walk
 WHERE json_type(j) = 'OBJECT' AND j->>'$.type' = 'text' AND json_type(j, '$.text') = 'VARCHAR'""",
+    "p2_array_values": _WALK
+    + """SELECT row_id AS record_id, node_path || '[' || i || ']' AS node_path, here AS parent_path,
+  CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, v->>'$' AS value
+FROM (SELECT *, json_extract(j, '$[' || i || ']') AS v
+  FROM (SELECT *, unnest(range(json_array_length(j)::BIGINT)) AS i FROM walk WHERE json_type(j) = 'ARRAY'))
+WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')""",
 }

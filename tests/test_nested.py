@@ -83,3 +83,15 @@ def test_nodes(spark):
     attrs = {r["node_path"]: r["attrs"] for r in tables["untyped"].where("record_id = 1").collect()}
     assert attrs["content[1].arguments.xs[0]"] == {"q": "1.0"}
     assert N.nodes(df.limit(0), "row_id", "message").count() == 0
+
+
+def test_array_values(spark):
+    rows = [
+        (1, '{"content":[{"cells":["a",1.0,[null,true]],"xs":[]},"t"],"tags":[2],"n":3}'), (2, "not json"), (3, None), (4, '"[1]"'), (5, '["x"]'), (6, '{"a":"[1]"}'),
+    ]
+    df = spark.createDataFrame(rows, "row_id bigint, message string")
+    assert sorted(tuple(r) for r in N.array_values(df, "row_id", "message").collect()) == [
+        (1, "content[0].cells[0]", "content[0]", "string", "a"), (1, "content[0].cells[1]", "content[0]", "number", "1.0"), (1, "content[0].cells[2][0]", "content[0]", "null", None),
+        (1, "content[0].cells[2][1]", "content[0]", "bool", "true"), (1, "content[1]", "", "string", "t"), (1, "tags[0]", "", "number", "2"), (5, "[0]", "", "string", "x"),
+    ]
+    assert N.array_values(df.limit(0), "row_id", "message").count() == 0
