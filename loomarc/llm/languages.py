@@ -13,7 +13,9 @@ joined so that switches are learned. Everything else covers all documents.
 
 Defined results: null, empty and blank texts, and texts without prose, have no language
 (document row with null language and 0 confidence; no segment). Documents labelled with a
-programming language are never relabelled. A text of any length is processed whole.
+programming language are never relabelled: that language is theirs with confidence 1, even
+without text, and a text that is not blank is one segment of it. A text of any length is
+processed whole.
 """
 
 from __future__ import annotations
@@ -223,7 +225,10 @@ def _labeller(key: int, chain: Chain) -> Labeller:
 
 
 def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
-    """``doc_id, lang, languages, confidence, mixed``: languages that fill paragraphs, largest first."""
+    """``doc_id, label, languages, confidence, code``: languages that fill paragraphs, largest first.
+
+    ``code`` is the programming language of a document so labelled, which has no ``languages``.
+    """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((chain.weights, chain.transitions))  # fixed size: 2 MB
     key = hash(chain.transitions.tobytes())
@@ -235,8 +240,9 @@ def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
                 part = batch.slice(start, 1000)
                 ids, labels = part.column(0).to_pylist(), part.column(1).to_pylist()
                 owner, sequences = [], []
-                for i, (text, label) in enumerate(zip(part.column(2).to_pylist(), labels)):
-                    if not text or language_code(label) in CODE:
+                codes = [code if (code := language_code(label)) in CODE else None for label in labels]
+                for i, (text, code) in enumerate(zip(part.column(2).to_pylist(), codes)):
+                    if not text or code:
                         continue
                     for _, _, prose in paragraphs(plain(text)):
                         words = words_of(prose)
@@ -252,12 +258,12 @@ def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
                 ranked = [sorted(m, key=lambda x: (-m[x][0], x)) for m in mass]
                 sure = [sum(v[1] for v in m.values()) / sum(v[0] for v in m.values()) if m else 0.0 for m in mass]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(ranked, pa.list_(pa.string())), pa.array(sure, pa.float64())],
-                    names=["doc_id", "label", "languages", "confidence"],
+                    [part.column(0), part.column(1), pa.array(ranked, pa.list_(pa.string())), pa.array(sure, pa.float64()), pa.array(codes, pa.string())],
+                    names=["doc_id", "label", "languages", "confidence", "code"],
                 )
 
     rows = spread(documents.select("doc_id", F.col("lang").alias("label"), "text"))
-    return rows.mapInArrow(run, "doc_id bigint, label string, languages array<string>, confidence double")
+    return rows.mapInArrow(run, "doc_id bigint, label string, languages array<string>, confidence double, code string")
 
 
 SEGMENTS = "doc_id bigint, segment_no int, start int, end int, lang string, confidence double"
@@ -278,9 +284,14 @@ def label_segments(documents: DataFrame, chain: Chain) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text or language_code(label) in CODE:
+                if not text:
                     continue
                 body = plain(text)
+                if (code := language_code(label)) in CODE:
+                    if body.strip():
+                        for column, value in zip(out, (doc_id, 0, 0, len(body), code, 1.0)):
+                            column.append(value)
+                    continue
                 found = [(a, b, p, w) for a, b, p in paragraphs(body, spans=True) if (w := words_of(p))]
                 if not found:
                     continue
@@ -350,10 +361,20 @@ def found(spark, sf_dir):
     return wrong_labels(label_documents(documents, fit(documents)))
 
 
+def languages_of_documents(labelled: DataFrame) -> DataFrame:
+    """``doc_id, lang, languages, confidence`` of every document; labels of code are always right."""
+    code = F.col("code")
+    return labelled.select(
+        "doc_id",
+        F.coalesce(code, F.try_element_at("languages", F.lit(1))).alias("lang"),
+        F.coalesce(code, F.array_join("languages", "+")).alias("languages"),
+        F.when(code.isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"),
+    )
+
+
 def document_languages(spark, sf_dir):
     documents = _documents(spark, sf_dir)
-    labelled = label_documents(documents, fit(documents))
-    return labelled.select("doc_id", F.try_element_at("languages", F.lit(1)).alias("lang"), F.array_join("languages", "+").alias("languages"), "confidence")
+    return languages_of_documents(label_documents(documents, fit(documents)))
 
 
 def segment_languages(spark, sf_dir):

@@ -93,5 +93,16 @@ def test_documents(spark, chain):
     assert L.label_documents(df.limit(0), chain).count() == 0
 
 
+def test_code_keeps_its_label(spark, chain):
+    rows = [(1, "x = 1;\ny = 2;", "Python"), (2, "int x;", "C#"), (3, "", "java"), (4, " \n", "java"), (5, None, "python"), (6, paragraph(random.Random(4), "de"), "en"), (7, "", "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labelled = L.label_documents(df, chain)
+    found = {r.doc_id: (r.lang, r.languages, round(r.confidence)) for r in L.languages_of_documents(labelled).collect()}
+    assert found == {1: ("python", "python", 1), 2: ("csharp", "csharp", 1), 3: ("java", "java", 1), 4: ("java", "java", 1), 5: ("python", "python", 1), 6: ("de", "de", 1), 7: (None, "", 0)}
+    segments = {r.doc_id: (r.segment_no, r.start, r.end, r.lang, r.confidence) for r in L.label_segments(df.where("doc_id <> 6"), chain).collect()}
+    assert segments == {1: (0, 0, 13, "python", 1.0), 2: (0, 0, 6, "csharp", 1.0)}
+    assert [tuple(r) for r in L.wrong_labels(labelled).collect()] == [(6, "de")]
+
+
 def test_labels():
     assert [language_code(x) for x in ("zh_CN ", "中文", "English", "pt-BR", "und", "", None, "C#")] == ["zh", "zh", "en", "pt", None, None, None, "csharp"]
