@@ -41,6 +41,8 @@ SAMPLE, PARAGRAPHS = 6_000, 8_000
 FILL = 0.6
 #: Characters of prose that a paragraph needs (characters of scripts without blanks count three).
 LEAST = 12
+#: Characters (counted in the same way) from which a run of words of one language is a segment.
+RUN = 12
 #: Distinct words remembered by one worker.
 MEMORY = 300_000
 
@@ -60,10 +62,18 @@ _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _QUOTE_SIGNS = re.compile("[“„«「『\"`'‘]")
 
 
+def _blanks(m: re.Match) -> str:
+    return re.sub(r"[^\n]", " ", m.group())
+
+
 def paragraphs(text: str, spans: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, prose) of each paragraph that has prose words; offsets are into the text given."""
+    """(start, end, prose) of each paragraph that has prose words; offsets are into the text given.
+
+    With ``spans`` what is no prose becomes blanks, so offsets into prose and text agree.
+    """
+    none, blank = (_blanks, _blanks) if spans else ("", " ")
     if "```" in text or "~~~" in text:
-        text = _FENCE.sub((lambda m: re.sub(r"[^\n]", " ", m.group())) if spans else "\n\n", text)
+        text = _FENCE.sub(_blanks if spans else "\n\n", text)
     out, at = [], 0
     for piece in _split(text):
         start, at = at, at + len(piece[0]) + piece[1]
@@ -71,16 +81,16 @@ def paragraphs(text: str, spans: bool = False) -> list[tuple[int, int, str]]:
         if not prose.strip():
             continue
         if "\n" in prose or prose[0] in " \t#/" or any(c in prose for c in ";{}=") or prose.startswith(("import", "def", "use", "return")):
-            prose = _CODE_LINE.sub("", _HEADING.sub("", prose))
+            prose = _CODE_LINE.sub(none, _HEADING.sub(none, prose))
         elif prose[0].isdigit():
-            prose = _HEADING.sub("", prose)
-        prose = _MARK.sub("", prose)
+            prose = _HEADING.sub(none, prose)
+        prose = _MARK.sub(none, prose)
         if _QUOTE_SIGNS.search(prose):
-            prose = _QUOTED.sub(" ", prose)
+            prose = _QUOTED.sub(blank, prose)
         if "/" in prose or "_" in prose or "\\" in prose or "=" in prose or "@" in prose:
-            prose = _PATHLIKE.sub(" ", prose)
+            prose = _PATHLIKE.sub(blank, prose)
         if _BLOB.search(prose):
-            prose = _BLOB.sub(" ", prose)
+            prose = _BLOB.sub(blank, prose)
         out.append((start, start + len(piece[0]), prose))
     return out
 
@@ -110,6 +120,15 @@ def words_of(prose: str) -> list[str]:
     return _WORD.findall(prose.lower())
 
 
+def placed_words(prose: str) -> tuple[list[str], list[int]]:
+    """The words of a prose and their offsets in it."""
+    low = prose.lower()
+    if len(low) != len(prose):  # a few letters have a longer small form
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in prose)
+    found = [*_WORD.finditer(low)]
+    return [m.group() for m in found], [m.start() for m in found]
+
+
 def weight(word: str) -> int:
     return 3 * len(word) if word[0] >= "぀" else len(word)
 
@@ -272,8 +291,9 @@ SEGMENTS = "doc_id bigint, segment_no int, start int, end int, lang string, conf
 def label_segments(documents: DataFrame, chain: Chain) -> DataFrame:
     """Each maximal stretch of one language: offsets (code points of the composed text), language, confidence.
 
-    A paragraph that one language fills is one segment; in a mixed paragraph, runs of
-    words of one language are (a single stray word belongs to the run around it).
+    Every paragraph is cut at the runs of the most probable language, however small their
+    share of it. A run shorter than ``RUN`` characters, or of a single word in a script with
+    blanks, is a name or loan and belongs to the run beside it.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((chain.weights, chain.transitions))
@@ -282,67 +302,78 @@ def label_segments(documents: DataFrame, chain: Chain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _labeller(key, Chain(*shared.value))
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not text:
-                    continue
-                body = plain(text)
-                if (code := language_code(label)) in CODE:
-                    if body.strip():
-                        for column, value in zip(out, (doc_id, 0, 0, len(body), code, 1.0)):
-                            column.append(value)
-                    continue
-                found = [(a, b, p, w) for a, b, p in paragraphs(body, spans=True) if (w := words_of(p))]
-                if not found:
-                    continue
-                probability, weights = own.probabilities([f[3] for f in found])
-                at = number = 0
-                for start, end, _, words in found:
-                    p, w = probability[at : at + len(words)], weights[at : at + len(words)]
-                    at += len(words)
-                    if w.sum() < LEAST:
-                        continue
-                    for a, b, lang, sure in _stretches(body, start, end, words, p, w, own.chain.states):
-                        for column, value in zip(out, (doc_id, number, a, b, lang, sure)):
-                            column.append(value)
-                        number += 1
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "segment_no", "start", "end", "lang", "confidence"])
+            for first in range(0, batch.num_rows, 1000):
+                yield labelled(own, batch.slice(first, 1000))
+
+    def labelled(own: Labeller, part: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], [], []]
+        found = []
+        for i, (doc_id, label, text) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
+            if not text:
+                continue
+            body = plain(text)
+            if (code := language_code(label)) in CODE:
+                if body.strip():
+                    for column, value in zip(out, (doc_id, 0, 0, len(body), code, 1.0)):
+                        column.append(value)
+                continue
+            for start, end, prose in paragraphs(body, spans=True):
+                words, places = placed_words(prose)
+                if words:
+                    found.append((i, doc_id, start, end, words, places))
+        if found:
+            probability, weights = own.probabilities([f[4] for f in found])
+        at, number, last = 0, 0, -1
+        for i, doc_id, start, end, words, places in found:
+            p, w = probability[at : at + len(words)], weights[at : at + len(words)]
+            at += len(words)
+            if i != last:
+                number, last = 0, i
+            if w.sum() < LEAST:
+                continue
+            for a, b, lang, sure in _stretches(start, end, words, places, p, w, own.chain.states):
+                for column, value in zip(out, (doc_id, number, a, b, lang, sure)):
+                    column.append(value)
+                number += 1
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "segment_no", "start", "end", "lang", "confidence"])
 
     return spread(documents.select("doc_id", F.col("lang").alias("label"), "text")).mapInArrow(run, SEGMENTS)
 
 
-def _stretches(body, start, end, words, p, w, states) -> list[tuple[int, int, str, float]]:
-    share = (p * w[:, None]).sum(0) / w.sum()
-    top = int(share.argmax())
-    if share[top] >= 0.9:
-        return [(start, end, states[top], float(share[top]))]
+def _runs(words: list[str], p: np.ndarray, w: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first word, end, state) of each run of one language that is long enough to be one."""
     best = p.argmax(1)
+    if (best == best[0]).all():
+        return [(0, len(best), int(best[0]))]
     for i in range(1, len(best) - 1):  # stray words
-        if best[i - 1] == best[i + 1] != best[i]:
+        if best[i - 1] == best[i + 1] != best[i] and (words[i][0] < "぀" or w[i] < RUN):
             best[i] = best[i - 1]
     edges = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), len(best)]
-    out, at, lower = [], start, body.lower() if len(body.lower()) == len(body) else body
-    for a, b in zip(edges, edges[1:]):
-        state = int(best[a])
-        sure = float((p[a:b, state] * w[a:b]).sum() / w[a:b].sum())
-        stop = end
-        if b < len(best):
-            k = at
-            for word in words[a : b + 1]:
-                k = lower.find(word, k, end)
-                if k < 0:
-                    break
-                stop = k
-                k += len(word)
-            if k < 0:
-                stop = end
-        if stop > at:
-            out.append((at, stop, states[state], sure))
-        at = stop
+    runs = [(a, b, int(best[a]), float(w[a:b].sum())) for a, b in zip(edges, edges[1:])]
+    stands = [r for r in runs if r[3] >= RUN and (r[1] - r[0] > 1 or words[r[0]][0] >= "぀")]
+    if not stands:
+        return [(0, len(best), int((p * w[:, None]).sum(0).argmax()))]
+    out: list[tuple[int, int, int]] = []
+    for (a, _, state, size), before in zip(stands, [None, *stands]):
+        if before is None:
+            a = 0
+        elif before[3] < size or before[2] == state:  # short runs between two go to the longer one
+            a = before[1]
+        if out and out[-1][2] == state:
+            a = out.pop()[0]
+        elif out:
+            out[-1] = (out[-1][0], a, out[-1][2])
+        out.append((a, len(best), state))
     return out
 
 
+def _stretches(start, end, words, places, p, w, states) -> list[tuple[int, int, str, float]]:
+    runs = _runs(words, p, w)
+    cuts = [start, *(start + places[a] for a, _, _ in runs[1:]), end]
+    return [(i, j, states[state], float((p[a:b, state] * w[a:b]).sum() / w[a:b].sum())) for (a, b, state), i, j in zip(runs, cuts, cuts[1:])]
+
+
 def wrong_labels(labelled: DataFrame) -> DataFrame:
     """``doc_id, lang`` for documents whose label is not the set of languages found; one row per language."""
     from loomarc.llm.labels import language_code_column

@@ -104,5 +104,25 @@ def test_code_keeps_its_label(spark, chain):
     assert [tuple(r) for r in L.wrong_labels(labelled).collect()] == [(6, "de")]
 
 
+def test_short_stretch_in_a_long_paragraph(spark, chain):
+    rng = random.Random(5)
+    en, de = paragraph(rng, "en", 80) + " ", paragraph(rng, "de", 6) + " "
+    zh = sentence(rng, "zh")
+    rows = [(1, en + de + en, "en"), (2, "# Title\n- 'a die' " + en + zh + " " + en, "en"), (3, en.strip(), "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {k: [] for k in (1, 2, 3)}
+    for r in L.label_segments(df, chain).orderBy("doc_id", "segment_no").collect():
+        found[r.doc_id].append((r.lang, rows[r.doc_id - 1][1][r.start : r.end]))
+    assert len(de) < 0.1 * len(rows[0][1])
+    assert found == {1: [("en", en), ("de", de), ("en", en)], 2: [("en", "# Title\n- 'a die' " + en), ("zh", zh + " "), ("en", en)], 3: [("en", en.strip())]}
+
+
+def test_runs():
+    words, w = ["the", "values", "zusammenfassung", "are", "exact", "汇总任务第二个"], np.array([3, 6, 15, 3, 5, 21], np.float32)
+    p = np.eye(3, dtype=np.float32)[[0, 0, 1, 0, 0, 2]]
+    assert L._runs(words, p, w) == [(0, 5, 0), (5, 6, 2)]
+    assert L._runs(words[:2], np.eye(3, dtype=np.float32)[[0, 1]], w[:2]) == [(0, 2, 1)]
+
+
 def test_labels():
     assert [language_code(x) for x in ("zh_CN ", "中文", "English", "pt-BR", "und", "", None, "C#")] == ["zh", "zh", "en", "pt", None, None, None, "csharp"]
