@@ -33,8 +33,6 @@ from loomarc.runtime import small_or_shuffled, spread
 
 #: Share of the question that a copy must hold: all but its last word or characters.
 COPY_SHARE = 0.6
-#: Bound of the sample of golds from which complete endings are learned.
-ENDING_SAMPLE = 200_000
 
 _CLOSERS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "{": "}", "《": "》", "【": "】", "„": "“"}
 _TERMINAL = ".。!！?？…"
@@ -197,41 +195,53 @@ def is_clause(text: str) -> bool:
     return len(_CJK.findall(text)) >= 8 or sum(w.isalpha() and len(w) > 1 for w in _WORD.findall(text)) >= 4
 
 
-class Endings:
-    """What ends complete clauses and what only occurs inside them, learned from golds."""
+#: How often a unit must have occurred inside clauses to count as no ending.
+INSIDE = 3
+#: How many occurrences of one kind outweigh a single one of the other, at any size of the input.
+OUTWEIGH = 20
+
+
+def breaks(inside, ends, starts):
+    """Whether a unit breaks a clause off, from its occurrences (numbers or columns).
+
+    It does where it stands inside clauses and hardly ever ends one, or begins longer words
+    and hardly ever is one.
+    """
+    return (inside >= INSIDE) & (ends * OUTWEIGH <= inside) | (starts >= 1) & ((inside + ends) * OUTWEIGH <= starts)
+
+
+def clause_units(texts: list[str]) -> dict[str, list[int]]:
+    """Unit -> number of folded texts which hold it inside a clause, at its end, as the start of a longer word."""
+    counts = (Counter(), Counter(), Counter())
+    inside, ends, starts = counts
+    for text in texts:
+        if not is_clause(text) or not (end := ending(text)):
+            continue
+        ends[end] += 1
+        if _CJK.match(end):
+            inside.update({text[i : i + 2] for i in range(len(text) - 2)})
+        else:
+            words = set(_WORD.findall(text))
+            inside.update(words - {end})
+            starts.update({w[:k] for w in words for k in range(1, len(w))})
+    return {unit: [c[unit] for c in counts] for unit in set().union(*counts)}
 
-    #: How often a unit must have occurred inside, and never at an end, to count as no ending.
-    INSIDE = 3
+
+class Endings:
+    """The units that break a clause off, learned from folded golds in memory."""
 
     def __init__(self, texts: list[str]):
-        self.last: set[str] = set()
-        inner: Counter[str] = Counter()
-        starts: Counter[str] = Counter()
-        for text in texts:
-            if not is_clause(text) or not (end := ending(text)):
-                continue
-            self.last.add(end)
-            if _CJK.match(end):
-                inner.update({text[i : i + 2] for i in range(len(text) - 2)})
-            else:
-                words = set(_WORD.findall(text))
-                inner.update(words - {end})
-                starts.update({w[:k] for w in words for k in range(1, len(w))})
-        self.inner = {unit for unit, n in inner.items() if n >= self.INSIDE} - self.last
-        self.starts = set(starts) - set(inner) - self.last
-
-    def broken(self, text: str) -> bool:
-        last = ending(text)
-        if not last or last in self.last:
-            return False
-        return last in self.inner or last in self.starts
-
-
-def breaks_off(answer: str, golds: list[str], endings: Endings) -> bool:
-    """Whether an answer stops inside a word, phrase, name or path (all arguments folded)."""
+        self.breaking = {unit for unit, counts in clause_units(texts).items() if breaks(*counts)}
+
+
+def breaks_off(answer: str, golds: list[str]) -> tuple[bool, str]:
+    """Whether an answer stops inside a word, phrase, name or path (all arguments folded).
+
+    Where its form does not tell, the unit at its end does, which comes second.
+    """
     text = answer.strip()
     if text.endswith(("…", "...", "‥")) or re.search(r"\w-$", text) and not _PATH.match(text):
-        return True
+        return True, ""
     core = text.strip("“\"'„«「*` ")
     for gold in golds:
         k = border(gold, core)
@@ -241,26 +251,26 @@ def breaks_off(answer: str, golds: list[str], endings: Endings) -> bool:
         lead = not before or before[-1] in " :：，,。.、“\"'「«" or _CJK.match(before[-1]) is not None
         if lead and (k == len(core) and k >= 2 or k >= max(4, len(gold) // 4)):
             if not any(g == core or core.endswith(g) and len(g) >= k for g in golds):
-                return True
+                return True, ""
     if unclosed(text) and text[-1:] not in _TERMINAL:
-        return True
+        return True, ""
     if _PATH.match(text) and not re.search(r"(?:/|\.\w{1,5})$", text):
-        return True
+        return True, ""
     if text[-1:] not in _TERMINAL and is_clause(text) and not _PATH.match(text):
-        return endings.broken(text)
-    return False
+        return False, ending(text)
+    return False, ""
 
 
-def defect_of(answer: str | None, question: str | None, golds: list[str | None] | None, best: str | None, endings: Endings) -> str | None:
-    """The defect type of one answer, or None."""
+def verdict(answer: str | None, question: str | None, golds: list[str | None] | None, best: str | None) -> tuple[str | None, str]:
+    """(defect type of one answer or None, unit at its end that makes it truncated where it breaks clauses off)."""
     if answer is None or not letters(transducer()(answer.replace("\\n", "\n"))):
-        return "empty"
+        return "empty", ""
     if question is None and not golds:
-        return None
+        return None, ""
     text, ask = folded(answer), folded(question or "")
     known = [folded(g) for g in [*(golds or []), best] if g]
     if text in known or text.rstrip(_TERMINAL) in known:
-        return None
+        return None, ""
     if ask:
         own, prompt = letters(text), letters(ask)
         whole = _automaton(prompt)
@@ -268,51 +278,71 @@ def defect_of(answer: str | None, question: str | None, golds: list[str | None]
         label = re.match(r"^\W*(?:\w{1,12}\s?[:：])", text)
         rest = len(own) - (len(letters(label.group())) if label and covered < len(own) else 0)
         if covered and covered >= rest and (own.find(prompt[:longest]) >= 0 or longest == len(prompt)):
-            return "copies_question"
+            return "copies_question", ""
         if covered and own.startswith(prompt) and prompt.startswith(own[len(prompt) :]):
-            return "copies_question"
+            return "copies_question", ""
     real = [g for g in known if not refuses(g)]
     if real and refuses(text) and not any(len(g) > 2 and g in text for g in real):
         if not any(refuses(g) for g in [folded(g) for g in golds or [] if g]):
-            return "refusal"
+            return "refusal", ""
     expected = {lang for lang in (language_of(question or ""), *(language_of(g) for g in golds or [] if g)) if lang}
     lang = strong_language(answer.replace("\\n", "\n"))
     if lang and expected and lang not in expected and not any(len(g) > 3 and g in text for g in known):
-        return "wrong_language"
-    return "truncated" if breaks_off(text, [folded(g) for g in golds or [] if g], endings) else None
+        return "wrong_language", ""
+    broken, unit = breaks_off(text, [folded(g) for g in golds or [] if g])
+    return "truncated" if broken else None, unit
+
+
+def defect_of(answer: str | None, question: str | None, golds: list[str | None] | None, best: str | None, endings: Endings) -> str | None:
+    """The defect type of one answer, or None."""
+    defect, unit = verdict(answer, question, golds, best)
+    return "truncated" if unit in endings.breaking else defect
 
 
-def complete_endings(golds: DataFrame, limit: int = ENDING_SAMPLE) -> Endings:
-    """Endings of complete clauses, from a bounded sample of golds (those of smallest hash).
+def breaking_units(questions: DataFrame) -> DataFrame:
+    """``unit`` of every unit that breaks clauses off, counted over all distinct golds.
 
-    Golds are whole by definition; what never ends one of them is no ending.
+    Golds are whole by definition; what hardly ever ends one of them is no ending.
     """
-    texts = golds.select(F.explode("golds").alias("gold")).where(F.length("gold").between(6, 4000))
-    rows = texts.distinct().orderBy(F.xxhash64("gold")).limit(limit).collect()
-    return Endings([folded(row[0]) for row in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = clause_units([folded(text) for text in batch.column(0).to_pylist()])
+            columns = [*zip(*counts.values())] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*counts], pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["unit", "inside", "ends", "starts"]
+            )
+
+    texts = questions.select(F.explode("golds").alias("gold")).where(F.col("gold").isNotNull()).distinct()
+    counted = texts.mapInArrow(run, "unit string, inside bigint, ends bigint, starts bigint")
+    summed = counted.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("inside", "ends", "starts")))
+    return summed.where(breaks(F.col("inside"), F.col("ends"), F.col("starts"))).select("unit")
 
 
 def defects(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """``answer_id, defect`` of every defective answer.
 
-    One join on ``qa_id``: the question side is broadcast below a checked size; beyond it
-    the join shuffles and AQE splits a hot question.
+    Joins on ``qa_id`` and on the unit at the end of an answer: the other side is broadcast
+    below a checked size; beyond it the join shuffles and AQE splits a hot key.
     """
-    endings = complete_endings(questions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), []
+            ids, judged = batch.column(0).to_pylist(), []
             for answer, best, question, golds in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                found.append(defect_of(answer, question, golds, best, endings))
-            keep = [i for i, d in enumerate(found) if d]
+                judged.append(verdict(answer, question, golds, best))
+            keep = [i for i, (defect, unit) in enumerate(judged) if defect or unit]
+            columns = [[ids[i] for i in keep], [judged[i][0] for i in keep], [judged[i][1] or None for i in keep]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in keep], pa.int64()), pa.array([found[i] for i in keep], pa.string())], names=["answer_id", "defect"]
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], names=["answer_id", "defect", "unit"]
             )
 
     asked = questions.select("qa_id", "question", "golds").where(F.col("qa_id").isNotNull()).dropDuplicates(["qa_id"])
     rows = spread(answers.select("qa_id", "answer_id", "answer", "best_gold")).join(small_or_shuffled(asked), "qa_id", "left")
-    return rows.select("answer_id", "answer", "best_gold", "question", "golds").mapInArrow(run, "answer_id bigint, defect string")
+    rows = rows.select("answer_id", "answer", "best_gold", "question", "golds").mapInArrow(run, "answer_id bigint, defect string, unit string")
+    units = small_or_shuffled(breaking_units(questions).withColumn("_breaks", F.lit("truncated")))
+    rows = rows.join(units, "unit", "left").select("answer_id", F.coalesce("defect", "_breaks").alias("defect"))
+    return rows.where(F.col("defect").isNotNull())
 
 
 def found(spark, sf_dir):

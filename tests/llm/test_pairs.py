@@ -50,3 +50,18 @@ def test_frames(spark):
     asked = spark.createDataFrame([("q", Q, ["a"]), ("q", Q, ["a"]), (None, None, None)], "qa_id string, question string, golds array<string>")
     assert sorted(tuple(r) for r in P.defects(answers, asked).collect()) == [(1, "empty"), (1, "empty")]
     assert P.defects(answers.limit(0), asked.limit(0)).count() == 0
+
+
+def test_endings_at_every_size(spark):
+    """A stray gold that ends in a word does not take it from the others; more golds of the same kind change nothing."""
+    names = ["".join(chr(97 + (k // 26**j) % 26) for j in range(3)) for k in range(400)]
+    golds = [f"the {n} gateway drops the wide frames because the reviewer keeps exact values" for n in names]
+    stray = ["some odd note stops here because"]
+    text = "my own gateway skips whole rows because"
+    for n in (40, 400):
+        assert P.defect_of(text, Q, golds[:n] + stray, None, P.Endings(golds[:n] + stray)) == "truncated"
+        assert P.defect_of(text + " values", Q, golds[:n], None, P.Endings(golds[:n])) is None
+    asked = spark.createDataFrame([("q", Q, golds + stray), ("long", Q, ["word " * 1000 + "because the end"] * 2), ("none", Q, [None])], "qa_id string, question string, golds array<string>")
+    answers = spark.createDataFrame([(1, "q", text, None), (2, "q", text + " values", None)], "answer_id bigint, qa_id string, answer string, best_gold string")
+    assert [tuple(r) for r in P.defects(answers, asked).collect()] == [(1, "truncated")]
+    assert "because" in {r.unit for r in P.breaking_units(asked).collect()}
