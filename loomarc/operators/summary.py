@@ -105,8 +105,12 @@ def best_image_run(summaries: DataFrame) -> DataFrame:
     return summaries.where(F.col("mode") == "image").agg(F.max_by("run", rank).alias("run"), F.max("eligible_avg_f1").alias("eligible_avg_f1"))
 
 
-def task_pivot(cases: DataFrame, runs: list[str]) -> DataFrame:
-    """Mean F1 by task and run; a task a run does not have is null. ``runs`` names the columns."""
+def task_pivot(cases: DataFrame, runs: list[str] | None = None) -> DataFrame:
+    """Mean F1 by task and run; a task a run does not have is null.
+
+    ``runs`` names the columns; by default every run in the cases has one (in order of names;
+    more than ``spark.sql.pivotMaxValues`` runs are an error, none is left out).
+    """
     return by_task(cases).groupBy("task").pivot("run", runs).agg(F.first("avg_f1"))
 
 

@@ -104,3 +104,14 @@ def test_recorded_contexts(spark):
     c = D.context(F.col("task"), F.col("language"), F.col("_id"), F.col("input"), F.col("context"))
     q = D.question(F.col("task"), F.col("language"), F.col("input"))
     assert df.where((c == F.col("want_context")) & (q == F.col("want_question"))).count() == len(rows) == 16
+
+
+def test_pivot_has_every_run(spark, small):
+    df = spark.createDataFrame([(r, t, True, f) for r, t, f in (("b", "x", 1.0), ("a", "x", 0.5), ("new", "y", 0.25), ("a", "x", 1.0))], "run string, task string, correct boolean, f1 double")
+    pivot = SU.task_pivot(df)
+    assert pivot.columns == ["task", "a", "b", "new"]
+    assert sorted(tuple(r) for r in pivot.collect()) == [("x", 0.75, 1.0, None), ("y", None, None, 0.25)]
+    from loomarc.plans import catalog
+
+    runs = {r.variant for r in spark.read.parquet(f"{small}/recall_answers.parquet").select("variant").distinct().collect()}
+    assert set(catalog.QUERIES["task_pivot_all"](spark, small).columns) == {"task"} | runs
