@@ -1,10 +1,19 @@
 """Deeply nested JSON records to related flat tables (structural-variant tables).
 
 Each record is read once. A bottom-up tree automaton gives every value a state (its
-*shape*): scalars by kind, arrays by the set of their element states, objects by the
-sorted list of (key, state). The state of an object decides its variant; each variant is
-routed to a typed subtype table, while the keys common to all variants (record id, node
-path, parent path, depth, shape) form the supertype table.
+*shape*): scalars by kind, arrays by the set of their element states, objects by the set
+of their members (key, state of the value). A string below the key ``type`` has a state of
+its own for each tag the variants know. The state of an object alone decides its variant:
+a transition table says what each (key, kind or tag) proves, and the first variant all of
+whose demands are proved accepts the object. Each variant is routed to a typed subtype
+table, while the keys common to all (record id, numbers and paths of node and parent,
+depth, shape) form the supertype table. Links, subtype tables and array values all come
+from this one walk.
+
+Links: ``node_no`` counts the objects of a record in reading order, from 0;
+``parent_no`` is that of the nearest enclosing object which is an array element, null where
+there is none. ``node_path`` and ``parent_path`` say the same to readers. Paths join keys as
+they are, so keys that hold dots or brackets can give two nodes one path; numbers never do.
 
 Defined results:
 
@@ -22,6 +31,7 @@ import json
 import re
 from collections.abc import Iterator
 from json.decoder import scanstring
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -31,7 +41,7 @@ from pyspark.sql import functions as F
 from loomarc.runtime import spread
 
 NODE_SCHEMA = (
-    "record_id bigint, node_path string, parent_path string, depth int, in_array boolean, "
+    "record_id bigint, node_no int, parent_no int, node_path string, parent_path string, depth int, in_array boolean, "
     "variant string, shape bigint, attrs map<string,string>"
 )
 
@@ -133,117 +143,150 @@ def parse(text: str | None):
         return parse_deep(text)
 
 
+class State(NamedTuple):
+    """A state: its hash (the same on every executor), the symbol tables know it by, the variant it accepts."""
+
+    shape: int
+    symbol: str
+    variant: str | None
+
+
+def _hash(transition: tuple) -> int:
+    found = xxhash.xxh64(repr(transition).encode("utf-8", "surrogatepass")).intdigest()
+    return found - (1 << 64) if found >> 63 else found
+
+
 class TreeAutomaton:
     """Bottom-up automaton over JSON trees.
 
-    ``state`` interns one integer per distinct (kind, child states) transition, so equal
-    shapes share a state within a task; ``shape`` of a state is a hash of its canonical
-    description and therefore the same on every executor.
+    Symbols of states are the kinds ``null``, ``bool``, ``number``, ``string``, ``array`` and
+    ``object``, and ``=tag`` for a known tag. ``VARIANTS`` states what the members of an object
+    have to be for each variant, the most special first; it is compiled into the transition table
+    (key, symbol) -> bits, and an object's variant is the first whose bits its members set.
     """
 
-    SCALARS = {type(None): "null", bool: "bool", Num: "number", str: "string"}
+    KINDS = {type(None): "null", bool: "bool", Num: "number", str: "string"}
+    TAG_KEY = "type"
+    TAGS = ("text", "thinking", "toolCall")
 
-    #: (variant, discriminator value of ``type``, keys that must be there with their kinds)
     VARIANTS = (
-        ("text_part", "text", (("text", "string"),)),
-        ("thinking_part", "thinking", (("thinking", "string"),)),
-        ("tool_call", "toolCall", (("name", "string"),)),
+        ("text_part", {"type": "=text", "text": "string"}),
+        ("thinking_part", {"type": "=thinking", "thinking": "string"}),
+        ("tool_call", {"type": "=toolCall", "name": "string"}),
+        ("media_part", {"type": "string", "source": "object"}),
+        ("message", {"role": "string"}),
+        ("typed", {"type": "string"}),
+        ("edit", {"old": "string", "new": "string"}),
+        ("located", {"path": "string"}),
+        ("untyped", {}),
     )
 
     def __init__(self) -> None:
-        self._known: dict[tuple, tuple[int, str]] = {}
+        self.leaves = {kind: State(_hash((kind,)), kind, None) for kind in self.KINDS.values()}
+        self.tags = {tag: State(_hash(("string", tag)), "=" + tag, None) for tag in self.TAGS}
+        self.table: dict[tuple[str, str], int] = {}
+        self.demands: list[tuple[int, str]] = []
+        bit = 1
+        for variant, members in self.VARIANTS:
+            want = 0
+            for key, symbol in members.items():
+                proofs = [symbol] if symbol != "string" else ["string", *(s.symbol for s in self.tags.values())]
+                for proof in proofs:
+                    self.table[key, proof] = self.table.get((key, proof), 0) | bit
+                want, bit = want | bit, bit << 1
+            self.demands.append((want, variant))
+        self._arrays: dict[frozenset, State] = {}
+        self._objects: dict[tuple, State] = {}
+
+    def leaf(self, key: str | None, value) -> State:
+        """The state of a scalar below a key (None: an array element)."""
+        if key == self.TAG_KEY and type(value) is str and value in self.tags:
+            return self.tags[value]
+        return self.leaves[self.KINDS[type(value)]]
+
+    def array(self, states: frozenset[State]) -> State:
+        found = self._arrays.get(states)
+        if found is None:
+            found = State(_hash(("array", *sorted(s.shape for s in states))), "array", None)
+            self._keep(self._arrays, states, found)
+        return found
 
-    def scalar(self, value) -> tuple[int, str]:
-        return self._enter((self.SCALARS[type(value)],))
+    def object(self, members: tuple[tuple[str, State], ...]) -> State:
+        found = self._objects.get(members)
+        if found is None:
+            proved = 0
+            for key, state in members:
+                proved |= self.table.get((key, state.symbol), 0)
+            variant = next(name for want, name in self.demands if want & ~proved == 0)
+            found = State(_hash(("object", *sorted((key, state.shape) for key, state in members))), "object", variant)
+            self._keep(self._objects, members, found)
+        return found
 
-    def array(self, states: set[int]) -> tuple[int, str]:
-        return self._enter(("array", *sorted(states)))
+    @staticmethod
+    def _keep(known: dict, transition, state: State) -> None:
+        if len(known) >= 50_000:  # bounds the task's memory; states are found anew, never wrong
+            known.clear()
+        known[transition] = state
 
-    def object(self, members: list[tuple[str, int]]) -> tuple[int, str]:
-        return self._enter(("object", *sorted(members)))
 
-    def _enter(self, transition: tuple) -> tuple[int, str]:
-        found = self._known.get(transition)
-        if found is None:
-            shape = xxhash.xxh64(repr(transition).encode("utf-8", "surrogatepass")).intdigest()
-            found = self._known[transition] = (shape - (1 << 64) if shape >> 63 else shape, transition[0])
-            if len(self._known) > 200_000:  # bounds the task's memory; states are recomputed, never wrong
-                self._known = {transition: found}
-        return found
+class Node(NamedTuple):
+    """One object of a record."""
 
-    def variant(self, node: dict) -> str:
-        kind = node.get("type")
-        for name, tag, required in self.VARIANTS:
-            if kind == tag and all(self.SCALARS.get(type(node.get(k))) == want for k, want in required):
-                return name
-        if isinstance(kind, str) and not isinstance(kind, Num):
-            return "typed"
-        return "untyped"
+    number: int
+    parent_number: int | None
+    path: str
+    parent: str
+    depth: int
+    element: bool
+    state: State
+    value: dict
 
 
-def walk(root, automaton: TreeAutomaton | None, attributes: bool, values: list[tuple] | None = None):
-    """Yield (path, parent, depth, in_array, variant, shape, attrs) of each object.
+def walk(root, automaton: TreeAutomaton, values: list[tuple] | None = None) -> list[Node]:
+    """The objects of a record in reading order, each with its state.
 
-    ``values``, where given, takes (path, parent, kind, text) of each scalar array element.
+    ``values``, where given, takes (path, parent, parent number, kind, text) of each scalar array element.
     """
-    stack = [(root, "", "", 0, False)]
-    order = []
-    shapes: dict[int, tuple[int, str]] = {}
-    if automaton is not None:
-        pending = [(root, False)]
-        while pending:  # post-order: children have their state before the parent's transition
-            value, seen = pending.pop()
-            if isinstance(value, dict):
-                if seen:
-                    shapes[id(value)] = automaton.object([(k, _state(v, shapes, automaton)) for k, v in value.items()])
-                else:
-                    pending.append((value, True))
-                    pending.extend((v, False) for v in value.values() if isinstance(v, (dict, list)))
-            elif isinstance(value, list):
-                if seen:
-                    shapes[id(value)] = automaton.array({_state(v, shapes, automaton) for v in value})
-                else:
-                    pending.append((value, True))
-                    pending.extend((v, False) for v in value if isinstance(v, (dict, list)))
+    # Reading order: containers with their places. Every child comes after its parent.
+    order: list[tuple] = []
+    stack = [(root, "", "", None, 0, False)]
+    count = 0
     while stack:
-        value, path, parent, depth, element = stack.pop()
+        item = value, path, parent, parent_no, depth, element = stack.pop()
         if isinstance(value, dict):
-            attrs = None
-            if attributes:
-                attrs = {k: _scalar_text(v) for k, v in value.items() if not isinstance(v, (dict, list))}
-            order.append(
-                (
-                    path, parent, depth, element,
-                    automaton.variant(value) if automaton else None,
-                    shapes[id(value)][0] if automaton else None,
-                    attrs,
-                )
-            )
-            inner = path if element else parent
+            order.append((count, *item))
+            inner, inner_no = (path, count) if element else (parent, parent_no)
+            count += 1
             stack.extend(
-                (v, f"{path}.{k}" if path else k, inner, depth + 1, False)
+                (v, f"{path}.{k}" if path else k, inner, inner_no, depth + 1, False)
                 for k, v in reversed(value.items())
                 if isinstance(v, (dict, list))
             )
         else:
+            order.append((-1, *item))
             if values is not None:
                 values.extend(
-                    (f"{path}[{i}]", parent, TreeAutomaton.SCALARS[type(v)], _scalar_text(v))
+                    (f"{path}[{i}]", parent, parent_no, TreeAutomaton.KINDS[type(v)], _scalar_text(v))
                     for i, v in enumerate(value)
                     if not isinstance(v, (dict, list))
                 )
             stack.extend(
-                (v, f"{path}[{i}]", parent, depth + 1, isinstance(v, dict))
+                (v, f"{path}[{i}]", parent, parent_no, depth + 1, isinstance(v, dict))
                 for i, v in reversed([*enumerate(value)])
                 if isinstance(v, (dict, list))
             )
-    return order
-
-
-def _state(value, shapes, automaton) -> int:
-    if isinstance(value, (dict, list)):
-        return shapes[id(value)][0]
-    return automaton.scalar(value)[0]
+    # The automaton runs over it backwards, so the states below a value are there before its own.
+    states: dict[int, State] = {}
+    leaf, nodes = automaton.leaf, []
+    for number, value, path, parent, parent_no, depth, element in reversed(order):
+        if number >= 0:
+            members = tuple([(k, states[id(v)] if isinstance(v, (dict, list)) else leaf(k, v)) for k, v in value.items()])
+            state = states[id(value)] = automaton.object(members)
+            nodes.append(Node(number, parent_no, path, parent, depth, element, state, value))
+        else:
+            states[id(value)] = automaton.array(frozenset([states[id(v)] if isinstance(v, (dict, list)) else leaf(None, v) for v in value]))
+    nodes.reverse()
+    return nodes
 
 
 def _scalar_text(value) -> str | None:
@@ -263,108 +306,95 @@ def _clean(text: str) -> str:
         return text.encode("utf-8", "replace").decode()
 
 
-_ARROW_ATTRS = pa.map_(pa.string(), pa.string())
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
-def nodes(df: DataFrame, id_col: str, json_col: str, attributes: bool = True, keep_root: bool = True) -> DataFrame:
-    """The supertype table: one row for each JSON object of each record.
+def _walked(df: DataFrame, id_col: str, json_col: str, schema: str, rows_of, needed: Column) -> DataFrame:
+    """Run the walk over each record: ``rows_of(automaton, root)`` gives rows without the record id.
 
-    ``parent_path`` is the path of the nearest enclosing object that is an array element,
-    '' where there is none; the root has path ''. One pass, no shuffle. Records without
-    any object below the root cost no Python time when ``keep_root`` is false: they are
-    filtered in the JVM.
+    One pass, no shuffle. Records that fail ``needed``, a condition on ``record``, cost no Python time.
     """
+    columns = [c.split(" ") for c in schema.split(", ")]
+    names, types = [c[0] for c in columns], [_TYPES[c[1]] for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = TreeAutomaton() if attributes else None
+        automaton = TreeAutomaton()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = ([], [], [], [], [], [], [], [])
-            for rid, text in zip(ids, texts):
+            held: list[tuple] = []
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     root = parse(text)
                 except ValueError:
                     continue
-                if not isinstance(root, (dict, list)):
-                    continue
-                for row in walk(root, automaton, attributes):
-                    if not keep_root and not row[3]:
-                        continue
-                    out[0].append(rid)
-                    for column, value in zip(out[1:], row):
-                        column.append(value)
-                if len(out[0]) >= 20_000:
-                    yield _batch(out)
-                    out = ([], [], [], [], [], [], [], [])
-            if out[0]:
-                yield _batch(out)
-
-    def _batch(out) -> pa.RecordBatch:
-        paths, parents = [_clean(p) for p in out[1]], [_clean(p) for p in out[2]]
-        attrs = [None if a is None else [(_clean(k), v) for k, v in a.items()] for a in out[7]]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(out[0], pa.int64()), pa.array(paths, pa.string()), pa.array(parents, pa.string()),
-                pa.array(out[3], pa.int32()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.string()),
-                pa.array(out[6], pa.int64()), pa.array(attrs, _ARROW_ATTRS),
-            ],
-            names=["record_id", "node_path", "parent_path", "depth", "in_array", "variant", "shape", "attrs"],
-        )
-
-    text = F.col(f"`{json_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("record_id"), text.alias("record"))
-    rows = rows.where(F.col("record").isNotNull())
-    if not keep_root:
-        rows = rows.where(F.col("record").contains("[") & F.col("record").contains("{"))
-    return spread(rows).mapInArrow(run, NODE_SCHEMA)
-
-
-def element_links(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Only the links: id, node path and parent path of each object that is an array element."""
-    found = nodes(df, id_col, json_col, attributes=False, keep_root=False)
-    return found.select(F.col("record_id").alias(id_col), "node_path", "parent_path")
-
-
-VALUE_SCHEMA = "record_id bigint, node_path string, parent_path string, kind string, value string"
+                if isinstance(root, (dict, list)):
+                    held.extend([(rid, *row) for row in rows_of(automaton, root)])
+                    if len(held) >= 20_000:
+                        yield as_batch(held)
+                        held = []
+            if held:
+                yield as_batch(held)
+
+    def as_batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("record_id"), F.col(f"`{json_col}`").alias("record"))
+    return spread(rows.where(F.col("record").isNotNull() & needed)).mapInArrow(run, schema)
+
+
+def _array(column: tuple, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(column, kind)
+    except UnicodeEncodeError:  # lone surrogates
+        return pa.array([_storable(x) for x in column], kind)
+
+
+def _storable(x):
+    if isinstance(x, str):
+        return _clean(x)
+    return [tuple(map(_storable, pair)) for pair in x] if isinstance(x, list) else x
+
+
+def nodes(df: DataFrame, id_col: str, json_col: str, attributes: bool = True, keep_root: bool = True) -> DataFrame:
+    """The supertype table: one row for each JSON object of each record, with its variant and shape.
+
+    ``parent_path`` is the path of the nearest enclosing object that is an array element,
+    '' where there is none; the root has path ''. Without ``attributes`` the map of scalar
+    fields is left null; without ``keep_root`` only array elements are given. The automaton runs
+    in any case.
+    """
+
+    def rows_of(automaton: TreeAutomaton, root) -> Iterator[tuple]:
+        for n in walk(root, automaton):
+            if n.element or keep_root:
+                fields = [(k, _scalar_text(v)) for k, v in n.value.items() if not isinstance(v, (dict, list))] if attributes else None
+                yield (n.number, n.parent_number, n.path, n.parent, n.depth, n.element, n.state.variant, n.state.shape, fields)
+
+    needed = F.lit(True) if keep_root else F.col("record").contains("[") & F.col("record").contains("{")
+    return _walked(df, id_col, json_col, NODE_SCHEMA, rows_of, needed)
+
+
+def element_links(supertype: DataFrame, id_col: str) -> DataFrame:
+    """Only the links of a supertype table: record, node path and parent path of each object routed to a variant that is an array element."""
+    routed = supertype.where(F.col("variant").isin([*SUBTYPES]) & F.col("in_array"))
+    return routed.select(F.col("record_id").alias(id_col), "node_path", "parent_path")
+
+
+VALUE_SCHEMA = "record_id bigint, node_path string, parent_path string, parent_no int, kind string, value string"
 
 
 def array_values(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """One row for each scalar that is an array element, at any depth.
 
-    ``node_path`` ends in the position, ``parent_path`` links as in ``nodes``; ``kind`` is
-    string, number, bool or null, and numbers are kept as written. One pass, no shuffle.
+    ``node_path`` ends in the position, ``parent_path`` and ``parent_no`` link as in ``nodes``;
+    ``kind`` is string, number, bool or null, and numbers are kept as written.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = ([], [], [], [], [])
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    root = parse(text)
-                except ValueError:
-                    continue
-                if not isinstance(root, (dict, list)):
-                    continue
-                values: list[tuple] = []
-                walk(root, None, False, values)
-                for path, parent, kind, value in values:
-                    for column, x in zip(out, (rid, _clean(path), _clean(parent), kind, value)):
-                        column.append(x)
-                if len(out[0]) >= 20_000:
-                    yield _batch(out)
-                    out = ([], [], [], [], [])
-            if out[0]:
-                yield _batch(out)
-
-    def _batch(out) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), *(pa.array(c, pa.string()) for c in out[1:])],
-            names=["record_id", "node_path", "parent_path", "kind", "value"],
-        )
-
-    text = F.col(f"`{json_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("record_id"), text.alias("record"))
-    return spread(rows.where(F.col("record").contains("["))).mapInArrow(run, VALUE_SCHEMA)
+    def rows_of(automaton: TreeAutomaton, root) -> list[tuple]:
+        values: list[tuple] = []
+        walk(root, automaton, values)
+        return values
+
+    return _walked(df, id_col, json_col, VALUE_SCHEMA, rows_of, F.col("record").contains("["))
 
 
 def _attr(name: str, kind: str = "string") -> Column:
@@ -376,28 +406,33 @@ SUBTYPES = {
     "text_part": (("text", "string"),),
     "thinking_part": (("thinking", "string"),),
     "tool_call": (("id", "string"), ("name", "string")),
+    "media_part": (("type", "string"),),
+    "message": (("role", "string"), ("toolCallId", "string"), ("content", "string")),
     "typed": (("type", "string"), ("path", "string"), ("name", "string")),
-    "untyped": (("path", "string"), ("line", "bigint"), ("ok", "boolean")),
+    "edit": (("old", "string"), ("new", "string")),
+    "located": (("path", "string"),),
+    "untyped": (("name", "string"), ("line", "bigint"), ("ok", "boolean")),
 }
 
 
-def subtype_tables(all_nodes: DataFrame) -> dict[str, DataFrame]:
-    """Route each variant of a supertype table to its typed table.
+def subtype_table(supertype: DataFrame, variant: str) -> DataFrame:
+    """The typed table of one variant.
 
-    Each table keeps the supertype keys, so ``(record_id, parent_path)`` of one joins
-    ``(record_id, node_path)`` of any other. ``attrs`` keeps every scalar field, so fields
+    Each table keeps the supertype keys, so ``(record_id, parent_no)`` of one joins
+    ``(record_id, node_no)`` of any other. ``attrs`` keeps every scalar field, so fields
     that come and go are in the typed column where the subtype has one and in the map
     otherwise. Scalars that are array elements belong to no object's fields: they are the
-    rows of ``array_values``, whose ``parent_path`` joins in the same way. An empty array
+    rows of ``array_values``, whose ``parent_no`` joins in the same way. An empty array
     holds no value and shows only in the shape.
     """
-    keys = ["record_id", "node_path", "parent_path", "depth", "in_array", "shape"]
-    return {
-        variant: all_nodes.where(F.col("variant") == variant).select(
-            *keys, *[_attr(name, kind).alias(name) for name, kind in columns], "attrs"
-        )
-        for variant, columns in SUBTYPES.items()
-    }
+    keys = ["record_id", "node_no", "parent_no", "node_path", "parent_path", "depth", "in_array", "shape"]
+    typed = [_attr(name, kind).alias(name) for name, kind in SUBTYPES[variant]]
+    return supertype.where(F.col("variant") == variant).select(*keys, *typed, "attrs")
+
+
+def subtype_tables(supertype: DataFrame) -> dict[str, DataFrame]:
+    """Every variant's typed table; each object is in exactly one."""
+    return {variant: subtype_table(supertype, variant) for variant in SUBTYPES}
 
 
 def shape_catalog(all_nodes: DataFrame) -> DataFrame:

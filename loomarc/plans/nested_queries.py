@@ -13,21 +13,24 @@ def _nodes(spark, sf_dir):
 
 
 def p2_found(spark, sf_dir):
-    return nested.element_links(table(spark, sf_dir, "session_events"), "row_id", "message")
+    supertype = nested.nodes(table(spark, sf_dir, "session_events"), "row_id", "message", attributes=False, keep_root=False)
+    return nested.element_links(supertype, "row_id")
 
 
 def p2_nodes(spark, sf_dir):
     return _nodes(spark, sf_dir)
 
 
-def p2_tool_calls(spark, sf_dir):
-    tables = nested.subtype_tables(_nodes(spark, sf_dir))
-    return tables["tool_call"].select("record_id", "node_path", "parent_path", "id", "name")
+def p2_objects(spark, sf_dir):
+    """The supertype table without what only shapes say: keys, depth, variant and number of scalar fields."""
+    return _nodes(spark, sf_dir).select("record_id", "node_path", "parent_path", "depth", "in_array", "variant", F.size("attrs").alias("fields"))
 
 
-def p2_text_parts(spark, sf_dir):
-    tables = nested.subtype_tables(_nodes(spark, sf_dir))
-    return tables["text_part"].select("record_id", "node_path", "parent_path", "text")
+def _subtype(variant, *columns):
+    def query(spark, sf_dir):
+        return nested.subtype_table(_nodes(spark, sf_dir), variant).select("record_id", "node_path", "parent_path", *columns)
+
+    return query
 
 
 def p2_messages(spark, sf_dir):
@@ -45,24 +48,34 @@ def p2_messages(spark, sf_dir):
 
 
 def p2_array_values(spark, sf_dir):
-    return nested.array_values(table(spark, sf_dir, "session_events"), "row_id", "message")
+    return nested.array_values(table(spark, sf_dir, "session_events"), "row_id", "message").drop("parent_no")
 
 
 def p2_shapes(spark, sf_dir):
     return nested.shape_catalog(_nodes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_messages, p2_text_parts, p2_tool_calls, p2_array_values, p2_shapes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_objects, p2_messages, p2_array_values, p2_shapes)}
+QUERIES |= {
+    "p2_tool_calls": _subtype("tool_call", "id", "name"),
+    "p2_text_parts": _subtype("text_part", "text"),
+    "p2_thinking_parts": _subtype("thinking_part", "thinking"),
+    "p2_media_parts": _subtype("media_part", "type"),
+    "p2_typed": _subtype("typed", "type", "path", "name"),
+    "p2_edits": _subtype("edit", "old", "new"),
+    "p2_located": _subtype("located", "path"),
+    "p2_untyped": _subtype("untyped", "name", "line", "ok"),
+}
 
 #: DuckDB reads the same objects with a recursive walk of the JSON tree.
 _WALK = """
 WITH RECURSIVE valid AS (
   SELECT row_id, message::JSON AS j FROM session_events WHERE message IS NOT NULL AND json_valid(message)
-), walk(row_id, j, node_path, parent_path, is_element, here) AS (
-  SELECT row_id, j, '', '', false, '' FROM valid
+), walk(row_id, j, node_path, parent_path, is_element, here, depth) AS (
+  SELECT row_id, j, '', '', false, '', 0 FROM valid
   UNION ALL
   SELECT w.row_id, c.j, c.path, w.here, c.element AND json_type(c.j) = 'OBJECT',
-         CASE WHEN c.element AND json_type(c.j) = 'OBJECT' THEN c.path ELSE w.here END
+         CASE WHEN c.element AND json_type(c.j) = 'OBJECT' THEN c.path ELSE w.here END, w.depth + 1
   FROM walk w, LATERAL (
     SELECT json_extract(w.j, '$."' || replace(k, '"', '\\"') || '"') AS j,
            CASE WHEN w.node_path = '' THEN k ELSE w.node_path || '.' || k END AS path, false AS element
@@ -75,7 +88,47 @@ WITH RECURSIVE valid AS (
 )
 """
 
+_ROUTED = (
+    _WALK
+    + """, objects AS (
+  SELECT *, CASE
+    WHEN j->>'$.type' = 'text' AND json_type(j, '$.type') = 'VARCHAR' AND json_type(j, '$.text') = 'VARCHAR' THEN 'text_part'
+    WHEN j->>'$.type' = 'thinking' AND json_type(j, '$.type') = 'VARCHAR' AND json_type(j, '$.thinking') = 'VARCHAR' THEN 'thinking_part'
+    WHEN j->>'$.type' = 'toolCall' AND json_type(j, '$.type') = 'VARCHAR' AND json_type(j, '$.name') = 'VARCHAR' THEN 'tool_call'
+    WHEN json_type(j, '$.type') = 'VARCHAR' AND json_type(j, '$.source') = 'OBJECT' THEN 'media_part'
+    WHEN json_type(j, '$.role') = 'VARCHAR' THEN 'message'
+    WHEN json_type(j, '$.type') = 'VARCHAR' THEN 'typed'
+    WHEN json_type(j, '$.old') = 'VARCHAR' AND json_type(j, '$.new') = 'VARCHAR' THEN 'edit'
+    WHEN json_type(j, '$.path') = 'VARCHAR' THEN 'located'
+    ELSE 'untyped' END AS variant
+  FROM walk WHERE json_type(j) = 'OBJECT'
+)
+"""
+)
+
+
+def _scalar(name: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{name}') IN ('ARRAY', 'OBJECT') THEN NULL ELSE j->>'$.{name}' END"
+
+
+def _subtype_sql(variant: str, *columns: str) -> str:
+    typed = ", ".join(f"{_scalar(c)} AS {c}" for c in columns)
+    return _ROUTED + f"SELECT row_id AS record_id, node_path, parent_path, {typed} FROM objects WHERE variant = '{variant}'"
+
+
 ORACLE = {
+    "p2_thinking_parts": _subtype_sql("thinking_part", "thinking"),
+    "p2_media_parts": _subtype_sql("media_part", "type"),
+    "p2_typed": _subtype_sql("typed", "type", "path", "name"),
+    "p2_edits": _subtype_sql("edit", "old", "new"),
+    "p2_located": _subtype_sql("located", "path"),
+    "p2_untyped": _ROUTED
+    + f"""SELECT row_id AS record_id, node_path, parent_path, {_scalar("name")} AS name,
+  CASE WHEN regexp_full_match({_scalar("line")}, '-?[0-9]+') THEN TRY_CAST({_scalar("line")} AS BIGINT) END AS line,
+  TRY_CAST({_scalar("ok")} AS BOOLEAN) AS ok FROM objects WHERE variant = 'untyped'""",
+    "p2_objects": _ROUTED
+    + """SELECT row_id AS record_id, node_path, parent_path, depth, is_element AS in_array, variant,
+  len(list_filter(json_keys(j), lambda k: json_type(json_extract(j, '$."' || replace(k, '"', '\\"') || '"')) NOT IN ('ARRAY', 'OBJECT')))::INT AS fields FROM objects""",
     "p2_found": _WALK + "SELECT row_id, node_path, parent_path FROM walk WHERE is_element",
     "p2_messages": """
 SELECT row_id, CASE WHEN json_type(j, '$.role') IN ('ARRAY','OBJECT') THEN NULL ELSE j->>'$.role' END AS role,
