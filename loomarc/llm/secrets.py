@@ -1,13 +1,16 @@
 """Credentials in source code and configuration: find and redact literal secrets.
 
-The content is tokenized lexically (key blocks, string literals with their escapes,
-comments, plain configuration values). A literal is a secret when
+The content is tokenized lexically, left to right (``lexer``: strings with their escapes
+and comments by the rules of the language; key blocks and plain configuration values
+here). Comments are read too, line by line, but nothing in them opens a string outside.
+A literal is a secret when
 
 * it is assigned or passed to a credential-named identifier and is no placeholder,
-  reference or template,
+  reference or template; the name is looked for to the start of the statement, comments left out,
 * it has the form of a known kind of token, wherever it stands,
 * it is the password of a URL, a credential-named URL parameter or command-line flag,
-* a comment or note states it after a credential word, or
+* a comment or note states it after a credential word, or holds a setting that was
+  commented out, or
 * it is a private key block.
 
 Only the characters of the literal are replaced: delimiters, escapes, line ends, comment
@@ -16,7 +19,8 @@ Redacting twice changes nothing.
 
 Defined results: null content stays null and gives no findings; empty content stays
 empty. A value on several lines (folded scalars, joined literals) counts on its first
-line. Repeated rows each give their findings; other columns pass through.
+line. Repeated rows each give their findings; other columns pass through. Time is linear in
+the length of the content, whatever quotes, marks or key blocks are left open in it.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomarc.llm.lexer import is_code, syntax_of, tokens
 from loomarc.runtime import spread
 
 REDACTED = "REDACTED"
@@ -68,7 +73,7 @@ _PLACEHOLDER = re.compile(
     | (?:/run/|/etc/|/var/|/secrets?/|/home/|/usr/|/opt/|/srv/|/mnt/|/tmp/|\./|\.\./|~/).*
     )$"""
 )
-_TEMPLATE = re.compile(r"\$\{[^{}]*\}|\{\{.*?\}\}|\$\([^()]*\)|\{%.*?%\}|<%.*?%>|\{[A-Za-z_][\w.]*\}|%\([\w.]+\)s")
+_TEMPLATE = re.compile(r"\$\{[^{}]*\}|\{\{(?:(?!\{\{|\}\}).)*+\}\}|\$\([^()]*\)|\{%(?:(?!\{%|%\}).)*+%\}|<%(?:(?!<%|%>).)*+%>|\{[A-Za-z_][\w.]*\}|%\([\w.]+\)s")
 _SCHEME = re.compile(r"(?i)^(bearer|basic|token|digest)\s+")
 _WORDS = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -82,43 +87,42 @@ _FORMS = re.compile(
 )
 _KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_LITERAL = re.compile(
-    r'''(?x)"""(?P<t1>.*?)""" | \'\'\'(?P<t2>.*?)\'\'\' | @"(?P<v>(?:""|[^"])*)" | "(?P<d>(?:\\.|[^"\\\n])*)" | \'(?P<s>(?:\\.|[^'\\\n])*)\' | `(?P<b>(?:\\.|[^`\\])*)`''',
-    re.S,
-)
-_JOIN = re.compile(r"\s*(?:\+|\.{1,2}|\\|<>)?\s*(?:[rRbBuUfF@$]{0,2})$")
+_JOIN = re.compile(r"\s*+(?:\+|\.{1,2}|\\|<>)?\s*+(?:[rRbBuUfF@$]{0,2})$")
 _NAME = r"([A-Za-z_$][\w.$-]*)"
 _BEFORE = [
     # name = "x", name: type = "x", opts['name'] = "x", "name": "x", name => "x", name = String::from("x"), name = ("x"
     re.compile(
-        _NAME + r"""(?:\\?["'`])?[ \t]*\]?[ \t]*(?::[ \t]*(?:&?'?\w[\w<>\[\], .&']*?))?[ \t]*(?:=>|:=|\?\?=|=(?!=)|:(?!:)|<-)\s*(?:\(\s*)?"""
+        _NAME + r"""(?:\\?["'`])?[ \t]*\]?[ \t]*(?::[ \t]*(?:&?'?\w[\w<>\[\], .&']{0,80}?))?[ \t]*(?:=>|:=|\?\?=|=(?!=)|:(?!:)|<-)\s*(?:\(\s*)?"""
         r"""(?:(?:String::from|str|bytes|Some|Ok|String|SecretStr|SecretString::new|new\s+\w+)\(\s*)?(?:[rRbBuUfF$]{0,2})$"""
     ),
     # f("name", "x")
-    re.compile(r"""\(\s*["'`]([\w.$-]+)["'`]\s*,\s*[@$]?$"""),
+    re.compile(r"""\(\s*+["'`]([\w.$-]+)["'`]\s*+,\s*+[@$]?$"""),
     # {name: NAME, value: "x"} and its two-line form
     re.compile(r"""name["']?\s*:\s*["']?([\w.$-]+)["']?\s*(?:,|\r?\n)\s*["']?value["']?\s*:\s*$"""),
     # <add key="name" value="x"
     re.compile(r"""(?:key|name)=["']([\w.$-]+)["']\s+value=$"""),
 ]
-_URL_PASSWORD = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@"'`<>]*:([^\s@"'`/<>]+)@""")
+_URL_PASSWORD = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@"'`<>]*:([^\s@"'`/<>]+)@""")
 _URL_PARAMETER = re.compile(r"""[?&;]([\w.-]+)=([^&\s"'`<>#;]+)""")
 _AUTH_HEADER = re.compile(r"""(?i)authorization\\?["']?\]?\s*[:=,]\s*(?:value:\s*)?\\?["'`]?\s*(?:bearer|basic|token|digest)\s+([A-Za-z0-9+/_.=~-]{6,})""")
 _FLAG = re.compile(r"""(?<![\w-])--([A-Za-z][\w-]*)(?:=|\s+)["']?([^\s"'`]+)""")
-_TOOL_PASSWORD = re.compile(r"""(?:\bsshpass\s+-p\s*|(?<![\w-])(?:-u|--user)[ =]+["']?[^\s:"'/]+:|\bmysql\b[^\n]*?\s-p)([^\s"'`]+)""")
+_TOOL_PASSWORD = re.compile(r"""(?:\bsshpass\s+-p\s*|(?<![\w-])(?:-u|--user)[ =]+["']?[^\s:"'/]+:|\bmysql\b[^\n]{0,200}?\s-p)([^\s"'`]+)""")
 _EMBEDDED = re.compile(r"""["'](?=([A-Za-z_][\w.-]*)\\?["']\s*[:=]\s*\\?["']((?:(?!\\?["']).)+)\\?["'])""")
 _PROSE = re.compile(
     r"""(?i)(?<![A-Za-z_-])(?:""" + PROSE_WORDS + r""")(?![A-Za-z_-])[^\n"'`=]{0,30}?(?:\bis\b|\bwas\b|[:：=]|是|は)\s*(?:[A-Za-z]+\s*/\s*)?([^\s"'`,;）)]{6,})"""
 )
-_COMMENT = re.compile(r"(?m)(?:^|(?<=\s))(?:#(?!\{)|//(?=[^/])|;(?=\s)|--\s|/\*|\*\s)[^\n]*")
 _PLAIN = re.compile(
-    r"""(?m)^(?![ \t]*(?:[#;*]|//))[ \t]*(?:-[ \t]+)?(?:(?:export|set|ENV|declare(?:[ \t]-\w+)?|local|readonly)[ \t]+)?["']?([A-Za-z_][\w.-]*)["']?[ \t]*[=:][ \t]*([^\s"'`][^\n]*?)[ \t]*\r?$"""
+    r"""(?m)^(?![ \t]*(?:[#;*]|//))[ \t]*(?:-[ \t]+)?(?:(?:export|set|ENV|declare(?:[ \t]-\w+)?|local|readonly)[ \t]+)?["']?([A-Za-z_][\w.-]*+)["']?[ \t]*[=:][ \t]*([^\s"'`][^\n]*+)$"""
 )
+# A setting that was commented out: nothing else is on its line.
+_SETTING = re.compile(r"""[ \t*]*(?:-[ \t]+)?(?:(?:export|set|ENV|local|readonly)[ \t]+)?["']?([A-Za-z_][\w.-]*+)["']?[ \t]*(=|:)[ \t]*([^\s"'`,;]{4,}+)[,;]?[ \t\r]*""")
+# What notes about a setting say instead of its value.
+NOTES = set("required optional encrypted plaintext hashed unused unset deprecated missing invalid expired rotated revoked generated automatic".split())
+_STEM = re.compile(r"(?i)pass|pw|secret|token|key|credential|cookie|authorization")
+_TRAILING = re.compile(r"\s+[#;].*$")
+_LINE = re.compile(r"[^\n]+")
 _FOLDED = re.compile(r"(?m)^([ \t]*)(?:-[ \t]+)?[\"']?([A-Za-z_][\w.-]*)[\"']?:[ \t]*[>|][+-]?\d?[ \t]*\r?\n")
 _FLOW_VALUE = re.compile(r"""name:\s*["']?([\w.$-]+)["']?\s*,\s*value:\s*([^\s,}"'][^,}\n]*)""")
-CODE = {"python", "javascript", "typescript", "java", "csharp", "c#", "rust", "go", "c", "cpp", "c++", "kotlin", "php", "ruby", "scala"}
-CODE_ENDINGS = (".py", ".js", ".ts", ".java", ".cs", ".rs", ".go", ".c", ".cpp", ".kt", ".php", ".rb", ".scala", ".tsx", ".jsx")
-
 
 def credential_name(name: str) -> bool:
     """Whether an identifier names a credential (its last words decide)."""
@@ -157,68 +161,120 @@ def _form(m: re.Match) -> bool:
     return any(c.isdigit() for c in value) or value.startswith(("eyJ", "A"))
 
 
-def secret_spans(text: str, is_code: bool) -> list[tuple[int, int, int]]:
+_MARK = re.compile(r"\s*(?:#|//|\*|;|--|>)+\s*")
+
+
+def _key_blocks(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, runs of key characters) of each private key block, closed or not."""
+    begins = [m.span() for m in _KEY_BEGIN.finditer(text)]
+    ends = [m.span() for m in _KEY_END.finditer(text)]
+    out, e, upto = [], 0, 0
+    line, marked, seen = -1, -1, 0  # the line last looked at, where its comment mark ends, up to where breaks were looked for
+    for i, (a, b) in enumerate(begins):
+        if a < upto:
+            continue
+        while e < len(ends) and ends[e][0] < b:
+            e += 1
+        following = begins[i + 1][0] if i + 1 < len(begins) else len(text)
+        closed = e < len(ends) and ends[e][0] <= following
+        stop = ends[e][0] if closed else _OPEN_BODY.match(text, b).end()
+        new = text.rfind("\n", seen, a) + 1  # each character is looked at once
+        seen = a
+        if new > line or line < 0:
+            line = new
+            m = _MARK.match(text, line, a)
+            marked = m.end() if m else -1
+        mark = text[line:a].rstrip() if marked == a else None
+        out.append((a, ends[e][1] if closed else stop, [*_key_runs(text, b, stop, mark)]))
+        upto = out[-1][1]
+    return out
+
+
+def _literals(text: str, syntax: str) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]], str]:
+    """(string literals with the region they are in, comments' insides, the text with comments blanked).
+
+    A literal is (region, start, end, inner start, inner end). Region 0 is the code; each line of a
+    comment and of a string over several lines is one of its own.
+    """
+    code, nested, comments = [], [], []
+    parts, at, region = [], 0, 0
+    for kind, start, end, inner, inner_end in tokens(text, syntax):
+        if kind == "s":
+            code.append((0, start, end, inner, inner_end))
+        else:
+            comments.append((inner, inner_end))
+            parts += [text[at:start], _blank(text[start:end])]
+            at = end
+        if kind == "c" or "\n" in text[inner:inner_end]:
+            for m in _LINE.finditer(text, inner, inner_end):
+                found = tokens(text, "quoted", *m.span())
+                if found:
+                    region += 1
+                    nested += [(region, *t[1:]) for t in found]
+    return code + nested, comments, "".join(parts) + text[at:] if parts else text
+
+
+def _blank(piece: str) -> str:
+    return "\n".join(" " * len(line) for line in piece.split("\n"))
+
+
+def secret_spans(text: str, is_code: bool, syntax: str = "any") -> list[tuple[int, int, int]]:
     """(start of the finding, start, end) of each stretch of characters that is secret.
 
     Several stretches of one finding (joined literals, lines of a key) share its start.
     """
     found: list[tuple[int, int, int]] = []
-    blocks: list[tuple[int, int]] = []
-    for m in _KEY_BEGIN.finditer(text):
-        if blocks and m.start() < blocks[-1][1]:
-            continue
-        end = _KEY_END.search(text, m.end())
-        nxt = _KEY_BEGIN.search(text, m.end())
-        stop = end.start() if end and not (nxt and nxt.start() < end.start()) else _open_end(text, m.end())
-        line = text.rfind("\n", 0, m.start()) + 1
-        mark = text[line : m.start()]
-        mark = mark.rstrip() if re.fullmatch(r"\s*(?:#|//|\*|;|--|>)+\s*", mark) else None
-        runs = list(_key_runs(text, m.end(), stop, mark))
+    blocks = _key_blocks(text) if "-----BEGIN" in text else []
+    for start, _, runs in blocks:
         if sum(b - a for a, b in runs) >= 16:
-            found.extend((m.start(), a, b) for a, b in runs)
-        blocks.append((m.start(), end.end() if end and stop == end.start() else stop))
+            found.extend((start, a, b) for a, b in runs)
+    block_starts = [b[0] for b in blocks]
 
     def free(a: int) -> bool:
-        return not any(x <= a < y for x, y in blocks)
+        i = bisect.bisect_right(block_starts, a) - 1
+        return i < 0 or a >= blocks[i][1]
 
     def add(a: int, b: int, start: int | None = None) -> None:
         if free(a):
             found.append((a if start is None else start, a, b))
 
     # String literals, joined where the code joins them.
-    literals = []
-    for m in _LITERAL.finditer(text):
-        kind = m.lastgroup
-        literals.append((m.start(), m.end(), m.start(kind), m.end(kind)))
+    literals, comments, code = _literals(text, syntax)
+    stems = [m.start() for m in _STEM.finditer(text)]  # no credential is named without one of them
+    named = bool(stems)
     i = 0
     while i < len(literals):
-        chain = [literals[i]]
-        while i + 1 < len(literals) and (between := text[literals[i][1] : literals[i + 1][0]]) and len(between) < 80 and _JOIN.fullmatch(between):
+        first, region = i, literals[i][0]
+        while i + 1 < len(literals) and literals[i + 1][0] == region and _JOIN.fullmatch(text, literals[i][2], literals[i + 1][1]) and literals[i + 1][1] > literals[i][2]:
             i += 1
-            chain.append(literals[i])
+        chain = literals[first : i + 1]
         i += 1
-        value = "".join(text[a:b] for _, _, a, b in chain)
-        if not free(chain[0][2]) or not value.strip():
+        value = "".join([text[a:b] for *_, a, b in chain])
+        if not value.strip() or not free(chain[0][3]):
             continue
-        name = _name_before(text[max(0, chain[0][0] - 96) : chain[0][0]])
+        name = None
+        if named:
+            left = code if region == 0 else text
+            begin = _statement(left, literals, first)
+            if bisect.bisect_left(stems, chain[0][1]) > bisect.bisect_left(stems, begin):
+                name = _name_before(left[begin : chain[0][1]])
         if name and credential_name(name) and real_value(value) and not ("://" in value and not _FORMS.search(value)):
-            first = chain[0][2]
-            for _, _, a, b in chain:
-                skip = len(s.group()) if a == first and (s := _SCHEME.match(text[a:b])) else 0
-                add(a + skip, b, first)
+            start = chain[0][3]
+            for *_, a, b in chain:
+                skip = len(s.group()) if a == start and (s := _SCHEME.match(text[a:b])) else 0
+                add(a + skip, b, start)
         elif len(chain) > 1 and (f := _FORMS.search(value)) and _form(f):
-            for _, _, a, b in chain:
-                add(a, b, chain[0][2])
+            for *_, a, b in chain:
+                add(a, b, chain[0][3])
         if len(chain) == 1 and len(value) > 8 and not name_is_code(value):
             for p in _PROSE.finditer(value):
                 if strong(p.group(1)):
-                    add(chain[0][2] + p.start(1), chain[0][2] + p.end(1))
+                    add(chain[0][3] + p.start(1), chain[0][3] + p.end(1))
 
     # Configuration lines without quotes.
-    if not is_code:
-        for m in _PLAIN.finditer(text):
-            value = m.group(2)
-            bare = re.sub(r"\s+[#;].*$", "", value)
+    if not is_code and named:
+        for m in _PLAIN.finditer(code):
+            bare = _TRAILING.sub("", m.group(2).rstrip(" \t\r"))
             if credential_name(m.group(1)) and real_value(bare) and not re.search(r"[({\[]|\s(?!$)", _SCHEME.sub("", bare)) and "://" not in bare:
                 skip = len(s.group()) if (s := _SCHEME.match(bare)) else 0
                 add(m.start(2) + skip, m.start(2) + len(bare))
@@ -226,7 +282,7 @@ def secret_spans(text: str, is_code: bool) -> list[tuple[int, int, int]]:
             if not credential_name(m.group(2)):
                 continue
             at, start, parts = m.end(), None, []
-            for line in re.compile(r"[^\n]*(?:\n|$)").finditer(text, at):
+            for line in _ANY_LINE.finditer(text, at):
                 body = line.group().rstrip("\r\n")
                 indent = len(body) - len(body.lstrip())
                 if not body.strip() or indent <= len(m.group(1)) or (parts and indent < first_indent):
@@ -243,36 +299,69 @@ def secret_spans(text: str, is_code: bool) -> list[tuple[int, int, int]]:
                 skip = len(s.group()) if (s := _SCHEME.match(m.group(2))) else 0
                 add(m.start(2) + skip, m.end(2))
 
-    # Forms that are secret wherever they stand.
-    for m in _FORMS.finditer(text):
-        if _form(m) and real_value(m.group()):
-            add(m.start(), m.end())
-    for m in _URL_PASSWORD.finditer(text):
-        if real_value(m.group(1)):
-            add(*m.span(1))
-    for m in _URL_PARAMETER.finditer(text):
-        if credential_name(m.group(1)) and real_value(m.group(2)):
-            add(*m.span(2))
-    for m in _AUTH_HEADER.finditer(text):
+    # Forms that are secret wherever they stand; each is only looked for where its marks are.
+    if any(mark in text for mark in _FORM_MARKS):
+        for m in _FORMS.finditer(text):
+            if _form(m) and real_value(m.group()):
+                add(m.start(), m.end())
+    if "://" in text:
+        for m in _URL_PASSWORD.finditer(text):
+            if real_value(m.group(1)):
+                add(*m.span(1))
+    if named:
+        if "=" in text:
+            for m in _URL_PARAMETER.finditer(text):
+                if credential_name(m.group(1)) and real_value(m.group(2)):
+                    add(*m.span(2))
+        if "--" in text:
+            for m in _FLAG.finditer(text):
+                if credential_name(m.group(1)) and strong(m.group(2)):
+                    add(*m.span(2))
+        for m in _EMBEDDED.finditer(text):
+            if credential_name(m.group(1)) and real_value(m.group(2)) and "://" not in m.group(2):
+                skip = len(s.group()) if (s := _SCHEME.match(m.group(2))) else 0
+                add(m.start(2) + skip, m.end(2))
+    for m in _AUTH_HEADER.finditer(text) if named else ():
         if strong(m.group(1)) or (real_value(m.group(1)) and re.search("[A-Z].*[a-z]|=$", m.group(1))):
             add(*m.span(1))
-    for m in _FLAG.finditer(text):
-        if credential_name(m.group(1)) and strong(m.group(2)):
-            add(*m.span(2))
-    for m in _TOOL_PASSWORD.finditer(text):
-        if real_value(m.group(1)):
-            add(*m.span(1))
-    for m in _EMBEDDED.finditer(text):
-        if credential_name(m.group(1)) and real_value(m.group(2)) and "://" not in m.group(2):
-            skip = len(s.group()) if (s := _SCHEME.match(m.group(2))) else 0
-            add(m.start(2) + skip, m.end(2))
-    for m in _COMMENT.finditer(text):
-        for p in _PROSE.finditer(m.group()):
+    if "-p" in text or "-u" in text:
+        for m in _TOOL_PASSWORD.finditer(text):
+            if real_value(m.group(1)):
+                add(*m.span(1))
+    for inner, inner_end in comments:
+        for p in _PROSE.finditer(text, inner, inner_end):
             if strong(p.group(1)) and "://" not in p.group(1):
-                add(m.start() + p.start(1), m.start() + p.end(1))
+                add(*p.span(1))
+        for line in _LINE.finditer(text, inner, inner_end):
+            p = _SETTING.fullmatch(text, *line.span())
+            if p and credential_name(p.group(1)) and real_value(p.group(3)) and "://" not in p.group(3) and _setting_value(p.group(3)):
+                add(*p.span(3))
     return _merged(found)
 
 
+_ANY_LINE = re.compile(r"[^\n]*(?:\n|$)")
+# How the forms of tokens begin.
+_FORM_MARKS = ("sk-", "sk_", "rk_", "gh", "glpat-", "hf_", "xox", "AKIA", "ASIA", "AIza", "eyJ", "npm_", "SG.", "pypi-", "dop_v1_")
+
+
+def _setting_value(value: str) -> bool:
+    """Whether a commented-out right side is a value: letters and digits, or a word of eight letters that is no note."""
+    if re.search(r"[(){}\[\]<>]", value):
+        return False
+    return any(c.isdigit() for c in value) or len(value) >= 8 and value.lower() not in NOTES
+
+
+def _statement(text: str, literals: list, at: int) -> int:
+    """Where the statement of a literal may begin: names can be quoted, so three literals lie between at most."""
+    back = at - 4
+    region = literals[at][0]
+    if back >= 0 and literals[back][0] == region:
+        return literals[back][2]
+    if region == 0:
+        return 0
+    return text.rfind("\n", 0, literals[at][1]) + 1
+
+
 def name_is_code(value: str) -> bool:
     return "://" in value or value.lstrip().startswith(("data:", "-----"))
 
@@ -302,25 +391,21 @@ def _name_before(left: str) -> str | None:
     return None
 
 
-_OPEN_BODY = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=])*(?:\r?\n[ \t]*(?:#|//|\*|;|--|>)?[ \t]*(?:[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z0-9+/]+={1,2}|(?:Proc-Type|DEK-Info):[^\n]*)[ \t]*(?=\r?\n|$))*")
-
-
-def _open_end(text: str, at: int) -> int:
-    """Where a key block without END stops: at the first line that is no line of a key."""
-    return _OPEN_BODY.match(text, at).end()
+_OPEN_BODY = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=])*+(?:\r?\n[ \t]*+(?:#|//|\*|;|--|>)?[ \t]*+(?:[A-Za-z0-9+/]{32,}={0,2}|[A-Za-z0-9+/]+={1,2}|(?:Proc-Type|DEK-Info):[^\n]*)[ \t]*(?=\r?\n|$))*")
+_RUN = re.compile(r"\\[nrt]|[A-Za-z0-9+/=]+|\n[ \t]*")
 
 
 def _key_runs(text: str, at: int, stop: int, mark: str | None) -> Iterator[tuple[int, int]]:
-    pattern = re.compile(r"\\[nrt]|[A-Za-z0-9+/=]+|\n[ \t]*" + (re.escape(mark.strip()) if mark else "") + r"[ \t]*")
+    pattern = _RUN if not mark else re.compile(r"\\[nrt]|[A-Za-z0-9+/=]+|\n[ \t]*" + re.escape(mark.strip()) + r"[ \t]*")
     for m in pattern.finditer(text, at, stop):
         piece = m.group()
         if piece[0] not in "\\\n" and piece != REDACTED and not text[m.end() : m.end() + 1] == ":":
             yield m.span()
 
 
-def redact(text: str, is_code: bool) -> tuple[str, list[int]]:
+def redact(text: str, is_code: bool, syntax: str = "any") -> tuple[str, list[int]]:
     """The redacted text and the lines (from 1) on which a secret begins."""
-    spans = secret_spans(text, is_code)
+    spans = secret_spans(text, is_code, syntax)
     if not spans:
         return text, []
     breaks = [m.start() for m in re.finditer("\n", text)]
@@ -332,21 +417,12 @@ def redact(text: str, is_code: bool) -> tuple[str, list[int]]:
     return "".join(out) + text[at:], sorted(lines)
 
 
-def code_like(language: str | None, path: str | None, text: str) -> bool:
-    """Whether unquoted right sides are expressions (code) and not values (configuration).
-
-    The path's ending decides; the language label, which may be wrong or missing, only
-    where the path has none.
-    """
-    if path:
-        name = path.lower().rsplit("/", 1)[-1]
-        if name.endswith(CODE_ENDINGS):
-            return True
-        if "." in name:
-            return False
-    if language and language.strip().lower() in CODE:
-        return True
-    return False
+def redact_file(text: str | None, language: str | None, path: str | None) -> tuple[str | None, list[int]]:
+    """The same for a file, whose syntax its name or its label tells."""
+    if not text:
+        return text, []
+    syntax = syntax_of(path, language)
+    return redact(text, is_code(syntax, path, language), syntax)
 
 
 def scan(df: DataFrame, id_col: str, content_col: str, language_col: str | None = None, path_col: str | None = None) -> DataFrame:
@@ -358,7 +434,7 @@ def scan(df: DataFrame, id_col: str, content_col: str, language_col: str | None
             texts = batch.column(1).to_pylist()
             languages = batch.column(2).to_pylist() if language_col else [None] * len(texts)
             paths = batch.column(3 if language_col else 2).to_pylist() if path_col else [None] * len(texts)
-            done = [(t, []) if not t else redact(t, code_like(lang, path, t)) for t, lang, path in zip(texts, languages, paths)]
+            done = [redact_file(*row) for row in zip(texts, languages, paths)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.int32()))],
                 names=[id_col, "redacted", "secret_lines"],
