@@ -6,16 +6,21 @@ and labelled word by word by a linear-chain conditional random field (``crf``).
 paragraph's language is the one that fills it; its confidence is the mean probability of
 that language over the paragraph's characters.
 
-The field is fitted in the session on a bounded sample of labelled documents (``SAMPLE``
-documents by hash, stated below). Labels of the sample may be wrong: paragraphs that the
-rest of the sample contradicts are left out, and stretches of different languages are
-joined so that switches are learned. Everything else covers all documents.
+The field is fitted in the session on a bounded sample of labelled documents: at most about
+``SAMPLE`` documents by hash, of each up to ``PER_DOCUMENT`` paragraphs by hash, of each the
+first ``FIT_WORDS`` words; of all these ``PARAGRAPHS`` paragraphs, no language having more
+than twice its even part. Executors take the paragraphs out, so the driver gets words only.
+Labels of the sample may be wrong: paragraphs that the rest of the sample contradicts are
+left out, and stretches of different languages are joined so that switches are learned.
+Everything else covers all documents and all of every text.
+
+A document labelled with a programming language keeps that label where its text has a line
+of code, or nothing but blanks; where it has none the text decides like any other.
 
 Defined results: null, empty and blank texts, and texts without prose, have no language
-(document row with null language and 0 confidence; no segment). Documents labelled with a
-programming language are never relabelled: that language is theirs with confidence 1, even
-without text, and a text that is not blank is one segment of it. A text of any length is
-processed whole.
+(document row with null language and 0 confidence; no segment). A label of code that holds is
+the language with confidence 1, and a text that is not blank is one segment of it. Letters of
+other scripts than Latin, Cyrillic, Han and kana have no language.
 """
 
 from __future__ import annotations
@@ -23,20 +28,23 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarc.llm.crf import STRETCH, Chain, learn
+from loomarc.llm.crf import Chain, learn
 from loomarc.llm.labels import CODE, PROSE, language_code
 from loomarc.runtime import spread
 
 #: Documents of which the field is fitted at most, and paragraphs used of them.
 SAMPLE, PARAGRAPHS = 6_000, 8_000
+#: Paragraphs taken of one of them, and words of each.
+PER_DOCUMENT, FIT_WORDS = 16, 48
 #: Share of a paragraph's characters that a language must have to fill it.
 FILL = 0.6
 #: Characters of prose that a paragraph needs (characters of scripts without blanks count three).
@@ -57,7 +65,8 @@ _CODE_LINE = re.compile(
 )
 _PATHLIKE = re.compile(r"[^\s（(，。、]*[\\/_=@][^\s）)，。、]*")
 _BLOB = re.compile(r"[A-Za-z0-9+]{32,}")
-_WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[Ѐ-ӿ]+|[぀-ヿ㐀-鿿々]+")
+# Scripts without blanks are cut into pairs of Han and short runs of kana, so a run can change its language.
+_WORD = re.compile(r"[A-Za-zÀ-ɏ]+|[Ѐ-ӿ]+|[㐀-鿿々]{1,2}|[぀-ゟ]{1,4}|[゠-ヿ]+")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _QUOTE_SIGNS = re.compile("[“„«「『\"`'‘]")
 
@@ -160,9 +169,6 @@ class Labeller:
         ids = np.fromiter((known[w] for words in sequences for w in words), np.int64)
         lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
         starts = np.cumsum(lengths) - lengths
-        if len(lengths) and lengths.max() > STRETCH:
-            cut = [(s + k, min(STRETCH, n - k)) for s, n in zip(starts.tolist(), lengths.tolist()) for k in range(0, n, STRETCH)]
-            starts, lengths = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
         return self.chain.marginals(self.emission[ids], starts, lengths), self.weights[ids]
 
     def fill(self, sequences: list[list[str]]) -> list[tuple[str | None, float, float]]:
@@ -185,44 +191,50 @@ class Labeller:
 
 def fit(documents: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Chain:
     """Fit the field on at most about ``sample`` documents, chosen by hash."""
-    count = max(documents.count(), 1)
-    step = max(1, count // sample)
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    rows = chosen.select("text", "lang").where(F.col("text").isNotNull() & F.length("text").between(1, 8_000)).limit(2 * sample).toArrow()
-    return fit_texts(zip(rows.column("text").to_pylist(), rows.column("lang").to_pylist()), seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [pair for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for pair in fit_paragraphs(text, label)]
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w, _ in out], pa.string()), pa.array([s for _, s in out], pa.int32())], names=["words", "state"])
+
+    step = max(1, documents.count() // sample)
+    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    rows = spread(chosen.select("text", "lang")).mapInArrow(run, "words string, state int").limit(2 * sample * PER_DOCUMENT).toArrow()
+    pairs = zip(rows.column("words").to_pylist(), rows.column("state").to_pylist())
+    return fit_pairs(sorted((words.split(" "), state) for words, state in pairs), seed)
+
+
+def fit_paragraphs(text: str, label: str | None) -> list[tuple[list[str], int]]:
+    """(words, state) of some paragraphs of a labelled text, chosen by hash."""
+    code = language_code(label)
+    if code not in PROSE:
+        return []
+    prose = [p for _, _, p in paragraphs(plain(text))]
+    if len(prose) > PER_DOCUMENT:
+        prose = sorted(prose, key=lambda p: xxhash.xxh32_intdigest(p.encode("utf-8", "replace")))[:PER_DOCUMENT]
+    kept = (words_of(p) for p in prose)
+    return [(words[:FIT_WORDS], PROSE.index(code)) for words in kept if sum(map(weight, words)) >= LEAST]
 
 
 def fit_texts(labelled: Iterator[tuple[str, str | None]], seed: int = 7) -> Chain:
     """Fit the field on (text, label) pairs, some of whose labels are wrong."""
+    return fit_pairs([pair for text, label in labelled for pair in fit_paragraphs(text, label)], seed)
+
+
+def fit_pairs(kept: list[tuple[list[str], int]], seed: int = 7) -> Chain:
+    """Fit the field on (words, state) pairs, some of which are wrong."""
     rng = random.Random(seed)
-    kept: list[tuple[list[str], int]] = []
-    for text, label in labelled:
-        code = language_code(label)
-        if code not in PROSE:
-            continue
-        for _, _, prose in paragraphs(plain(text)):
-            words = words_of(prose)[:STRETCH]
-            if sum(map(weight, words)) >= LEAST:
-                kept.append((words, PROSE.index(code)))
     rng.shuffle(kept)
     kept = kept[: 3 * PARAGRAPHS]
     # What the labels of the whole sample say of each word decides which paragraphs are doubtful.
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(PROSE)))
-    totals = np.zeros(len(PROSE))
-    units = [{u for w in set(words) for u in ((w, w[:2], w[-3:], *w[:12]) if w[0] >= "぀" else (w, w[-3:]))} for words, _ in kept]
-    for own, (_, state) in zip(units, kept):
-        for unit in own:
-            counts[unit][state] += 1
-        totals[state] += 1
-    says = dict(zip(counts, np.log((np.array([*counts.values()]) + 0.05) / (totals + 1)))) if counts else {}
-    agreed = [pair for own, pair in zip(units, kept) if int(sum(says[u] for u in own).argmax()) == pair[1]]
+    agreed = [kept[i] for i in np.flatnonzero(_agrees([words for words, _ in kept], np.array([state for _, state in kept], np.int64))).tolist()]
     # Frequent languages are thinned so that each has a fair part of the sample.
     quota = PARAGRAPHS // len(PROSE) * 2
     taken, chosen = Counter(), []
     for words, state in agreed:
         if taken[state] < quota and len(chosen) < PARAGRAPHS:
             taken[state] += 1
-            chosen.append((words[:48], state))
+            chosen.append((words, state))
     if not chosen:
         chosen = [([w], PROSE.index("en")) for w in ("the", "and")]
     sequences = [(words, [state] * len(words)) for words, state in chosen]
@@ -230,9 +242,29 @@ def fit_texts(labelled: Iterator[tuple[str, str | None]], seed: int = 7) -> Chai
         (a, x), (b, y) = rng.choice(chosen), rng.choice(chosen)
         a, b = a[: rng.randint(3, 24)], b[: rng.randint(3, 24)]
         sequences.append((a + b, [x] * len(a) + [y] * len(b)))
+    rng.shuffle(sequences)
     return learn(sequences)
 
 
+def _agrees(paragraphs_: list[list[str]], states: np.ndarray) -> np.ndarray:
+    """Whether a naive vote of the words and their ends, counted over all labels, names a paragraph's own label."""
+    if not paragraphs_:
+        return np.zeros(0, bool)
+    units: dict[str, int] = {}
+    of_word: dict[str, list[int]] = {}
+    for w in dict.fromkeys(w for words in paragraphs_ for w in words):
+        of_word[w] = [units.setdefault(u, len(units)) for u in ({w, *w} if w[0] >= "぀" else {w, w[-3:]})]
+    flat = [[u for w in set(words) for u in of_word[w]] for words in paragraphs_]
+    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+    pairs = np.unique(np.repeat(np.arange(len(flat)), sizes) * len(units) + np.array([u for own in flat for u in own], np.int64))
+    paragraph, unit = pairs // len(units), pairs % len(units)
+    k = len(PROSE)
+    counts = np.bincount(unit * k + states[paragraph], minlength=len(units) * k).reshape(-1, k)
+    says = np.log((counts + 0.05) / (np.bincount(states, minlength=k) + 1))
+    votes = np.stack([np.bincount(paragraph, says[unit, s], len(flat)) for s in range(k)], 1)
+    return votes.argmax(1) == states
+
+
 _LABELLERS: dict[int, Labeller] = {}
 
 
@@ -246,7 +278,7 @@ def _labeller(key: int, chain: Chain) -> Labeller:
 def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
     """``doc_id, label, languages, confidence, code``: languages that fill paragraphs, largest first.
 
-    ``code`` is the programming language of a document so labelled, which has no ``languages``.
+    ``code`` is the programming language of a document rightly so labelled, which has no ``languages``.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((chain.weights, chain.transitions))  # fixed size: 2 MB
@@ -259,8 +291,9 @@ def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
                 part = batch.slice(start, 1000)
                 ids, labels = part.column(0).to_pylist(), part.column(1).to_pylist()
                 owner, sequences = [], []
-                codes = [code if (code := language_code(label)) in CODE else None for label in labels]
-                for i, (text, code) in enumerate(zip(part.column(2).to_pylist(), codes)):
+                texts = part.column(2).to_pylist()
+                codes = [code_label(label, text) for label, text in zip(labels, texts)]
+                for i, (text, code) in enumerate(zip(texts, codes)):
                     if not text or code:
                         continue
                     for _, _, prose in paragraphs(plain(text)):
@@ -285,6 +318,14 @@ def label_documents(documents: DataFrame, chain: Chain) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, label string, languages array<string>, confidence double, code string")
 
 
+def code_label(label: str | None, text: str | None) -> str | None:
+    """The programming language of a label, unless the text has words and no line of code."""
+    code = language_code(label)
+    if code not in CODE:
+        return None
+    return code if not text or not text.strip() or _CODE_LINE.search(text) else None
+
+
 SEGMENTS = "doc_id bigint, segment_no int, start int, end int, lang string, confidence double"
 
 
@@ -312,7 +353,7 @@ def label_segments(documents: DataFrame, chain: Chain) -> DataFrame:
             if not text:
                 continue
             body = plain(text)
-            if (code := language_code(label)) in CODE:
+            if code := code_label(label, text):
                 if body.strip():
                     for column, value in zip(out, (doc_id, 0, 0, len(body), code, 1.0)):
                         column.append(value)
@@ -379,7 +420,7 @@ def wrong_labels(labelled: DataFrame) -> DataFrame:
     from loomarc.llm.labels import language_code_column
 
     code = language_code_column(F.col("label"))
-    right = (F.size("languages") == 1) & code.eqNullSafe(F.element_at("languages", 1))
+    right = (F.size("languages") == 1) & code.eqNullSafe(F.try_element_at("languages", F.lit(1)))
     return labelled.where((F.size("languages") > 0) & ~right).select("doc_id", F.explode("languages").alias("lang"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomarc.llm import languages as L
-from loomarc.llm.crf import Chain, learn
+from loomarc.llm.crf import STRETCH, Chain, learn, word_features
 from loomarc.llm.labels import language_code
 
 SUBJECTS = {
@@ -63,8 +63,42 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got[s : s + n], want / total, atol=1e-4)
 
 
+def test_long_sequences_equal_one_recursion():
+    rng = np.random.default_rng(1)
+    chain = Chain(np.zeros((1, 4), np.float32), rng.normal(size=(4, 4)).astype(np.float32) * 2, tuple("abcd"))
+    lengths = np.array([5, STRETCH, STRETCH + 1, 700, 1, 2 * STRETCH, 1500])
+    starts = np.cumsum(lengths) - lengths
+    emission = rng.normal(size=(lengths.sum(), 4)).astype(np.float32)
+    got, move = chain.marginals(emission, starts, lengths), np.exp(chain.transitions.astype(float))
+    for s, n in zip(starts, lengths):
+        level = np.exp(emission[s : s + n].astype(float))
+        alphas, betas = [level[0]], [np.ones(4)]
+        for t in range(1, n):
+            step = (alphas[-1] @ move) * level[t]
+            alphas.append(step / step.sum())
+        for t in range(n - 1, 0, -1):
+            step = move @ (level[t] * betas[-1])
+            betas.append(step / step.sum())
+        want = np.array(alphas) * np.array(betas[::-1])
+        assert np.allclose(got[s : s + n], want / want.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_every_feature_counts():
+    a, b = "donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtsgesellschoft"
+    assert len(word_features(a)) > 40 and word_features(a) != word_features(b)
+
+
+def test_a_long_run_changes_its_language(spark, chain):
+    rng = random.Random(8)
+    zh = "".join(sentence(rng, "zh").rstrip("。") for _ in range(12))
+    ja = "".join(sentence(rng, "ja").rstrip("。") for _ in range(8))
+    df = spark.createDataFrame([(1, zh + ja, "zh")], "doc_id bigint, text string, lang string")
+    found = [(r.lang, r.end) for r in L.label_segments(df, chain).orderBy("segment_no").collect()]
+    assert [lang for lang, _ in found] == ["zh", "ja"] and abs(found[0][1] - len(zh)) <= 4
+
+
 def test_learning_prefers_what_it_saw():
-    chain = learn([(["the", "dog"], [1, 1]), (["der", "hund"], [0, 0])] * 10, ("de", "en"), rounds=20)
+    chain = learn([(["the", "dog"], [1, 1]), (["der", "hund"], [0, 0])] * 10, ("de", "en"), steps=20)
     assert chain.emissions(["the"])[0].argmax() == 1 and chain.emissions(["hund"])[0].argmax() == 0 and chain.transitions[0, 0] > chain.transitions[0, 1]
 
 
@@ -82,9 +116,9 @@ def test_documents(spark, chain):
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labelled = L.label_documents(df, chain)
-    assert sorted(tuple(r) for r in L.wrong_labels(labelled).collect()) == [(2, "de"), (3, "de"), (3, "zh"), (4, "zh")]
+    assert sorted(tuple(r) for r in L.wrong_labels(labelled).collect()) == [(2, "de"), (3, "de"), (3, "zh"), (4, "zh"), (10, "de")]
     by_id = {r.doc_id: r for r in labelled.collect()}
-    assert by_id[5].languages == [] and by_id[5].confidence == 0.0 and by_id[10].languages == []
+    assert by_id[5].languages == [] and by_id[5].confidence == 0.0 and by_id[10].languages == ["de"] and by_id[8].code == "python"
     segments = [r for r in L.label_segments(df, chain).collect() if r.doc_id == 3]
     text = rows[2][1]
     assert [(r.lang, text[r.start : r.end].strip()) for r in segments] == [("de", de), ("zh", zh)]
