@@ -10,6 +10,15 @@ the ids. A memory of words means that each word is merged about once per worker.
 Cutting is exact: a fragment ends between two bytes that no token of the vocabulary holds
 side by side, so no token can span the cut.
 
+A recursion keeps the rows of its steps, so it stops after ``STEPS`` and goes on from its last
+one: memory is linear in the bytes merged at once (``ROWS``). Long fragments contract many
+pairs a step: every pair that is the minimum (rank, then position) of all pairs that start up to
+``span`` bytes before and twice that after it, ``span`` being the longest token of its bytes. No
+merge that comes before it can reach its tokens, for the first one of such a chain would be a pair
+of lower rank within that distance. In a run of equal pairs of which that holds every second one
+goes, unless lower ranks can appear beside them. Fragments beyond ``ROWS`` bytes are merged in stretches, leaving
+pairs too near a cut for stretches cut elsewhere. DuckDB never writes to disk.
+
 Defined results: null and '' give an empty list. Text that looks like a special token is
 ordinary text. Repeated rows each have their ids; other columns are ignored.
 """
@@ -59,11 +68,52 @@ WITH RECURSIVE steps(step, fragment, position, token) AS (
         )
       )
     )
-  ) WHERE merged_before IS NULL
+  ) WHERE merged_before IS NULL AND step < {steps}
+), last AS (SELECT fragment, max(step) AS step FROM steps GROUP BY fragment)
+SELECT fragment, list(token ORDER BY position) AS ids, list(position ORDER BY position) AS places, any_value(step) AS step
+FROM steps JOIN last USING (fragment, step) GROUP BY fragment
+"""
+
+LONG_SQL = """
+WITH RECURSIVE steps(step, fragment, position, token) AS (
+  SELECT 0, fragment, position, token FROM fragments
+  UNION ALL
+  SELECT step + 1, fragment, position, coalesce(merged, token)
+  FROM (
+    SELECT *, lag(merged) OVER one AS merged_before, count(merged) OVER (PARTITION BY fragment) AS merges_done
+    FROM (
+      SELECT step, fragment, position, token,
+        CASE WHEN p.key = p.best OR p.whole = p.rank AND p.place % 2 = 1 AND NOT p.alone THEN p.rank END AS merged
+      FROM (
+        SELECT *, min(best >> 32) OVER run AS whole, row_number() OVER run_order AS place
+        FROM (
+          SELECT *, CASE WHEN (position - {span} >= lo OR open_left) AND (position + 2 * {span} <= hi OR open_right)
+              THEN min(key) OVER (PARTITION BY fragment ORDER BY position RANGE BETWEEN {span} PRECEDING AND 2 * {span} FOLLOWING) ELSE -1 END AS best,
+            sum(turn) OVER (PARTITION BY fragment ORDER BY position) AS run
+          FROM (
+            SELECT *, CASE WHEN rank IS NOT DISTINCT FROM lag(rank) OVER (PARTITION BY fragment ORDER BY position) THEN 0 ELSE 1 END AS turn
+            FROM (
+              SELECT q.*, m.rank, m.alone, m.rank::BIGINT * 4294967296 + q.position AS key
+              FROM (SELECT step, fragment, position, token, lead(token) OVER one AS following FROM steps WINDOW one AS (PARTITION BY fragment ORDER BY position)) q
+              LEFT JOIN merges m ON m.left_token = q.token AND m.right_token = q.following
+            ) JOIN cuts USING (fragment)
+          )
+        ) WINDOW run AS (PARTITION BY fragment, run), run_order AS (PARTITION BY fragment, run ORDER BY position)
+      ) p
+    ) WINDOW one AS (PARTITION BY fragment ORDER BY position)
+  ) WHERE merges_done > 0 AND merged_before IS NULL AND step < {steps}
 ), last AS (SELECT fragment, max(step) AS step FROM steps GROUP BY fragment)
-SELECT fragment, list(token ORDER BY position) AS ids FROM steps JOIN last USING (fragment, step) GROUP BY fragment
+SELECT fragment, list(token ORDER BY position) AS ids, list(position ORDER BY position) AS places, any_value(step) AS step
+FROM steps JOIN last USING (fragment, step) GROUP BY fragment
 """
 
+#: Steps of one recursion, whose rows are kept until it ends.
+STEPS = 16
+#: Token rows merged at once.
+ROWS = 200_000
+#: Bytes from which a fragment is long.
+LONG = 256
+
 
 class Encoder:
     """Word and fragment memory of one worker, over an in-process DuckDB."""
@@ -83,9 +133,14 @@ class Encoder:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(number)
         self.inside = inside
+        # The longest token of each set of bytes, to know how far one reaches in a fragment.
+        self.sets: dict[frozenset[int], int] = {}
+        for token in ranks:
+            own = frozenset(token)
+            self.sets[own] = max(self.sets.get(own, 0), len(token))
         merged = {number for token, number in ranks.items() if len(token) > 1}
         alone = {x for a, b, k in zip(left, right, rank) for x in (a, b) if x in merged and k < x}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("given", pa.table({"left_token": left, "right_token": right, "rank": rank, "alone": [k in alone for k in rank]}))
         self.db.execute("CREATE TABLE merges AS SELECT left_token::INT AS left_token, right_token::INT AS right_token, rank::INT AS rank, alone FROM given")
         self.db.unregister("given")
@@ -141,26 +196,73 @@ class Encoder:
                 self.fragments[piece] = whole.to_bytes(4, sys.byteorder)
             else:
                 pending.append(piece)
-        for start in range(0, len(pending), 50_000):
-            self._merge(pending[start : start + 50_000])
+        group, size = [], 0
+        for piece in pending:
+            if len(piece) >= LONG:
+                self.fragments[piece] = self._merge_long(piece)
+                continue
+            if size + len(piece) > ROWS:
+                self._merge(group)
+                group, size = [], 0
+            group.append(piece)
+            size += len(piece)
+        if group:
+            self._merge(group)
 
     def _merge(self, pieces: list[bytes]) -> None:
+        """Merge short fragments, all at once, until none changes."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         starts = np.cumsum(sizes) - sizes
-        rows = pa.table(
-            {
-                "fragment": pa.array(np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)),
-                "position": pa.array((np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32)),
-                "token": pa.array(self.single[np.frombuffer(b"".join(pieces), np.uint8)]),
-            }
-        )
-        self.db.register("fragments", rows)
+        positions = (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32)
+        left = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes), positions, self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        while len(left[0]):
+            open_: list[tuple] = []
+            for number, ids, places, step in self._run(MERGE_SQL.format(steps=STEPS), *left):
+                if step < STEPS:
+                    self.fragments[pieces[number]] = np.array(ids, np.int32).tobytes()
+                else:
+                    open_.append((number, ids, places))
+            left = (
+                np.repeat(np.array([o[0] for o in open_], np.int32), [len(o[1]) for o in open_]),
+                np.array([x for o in open_ for x in o[2]], np.int32), np.array([x for o in open_ for x in o[1]], np.int32),
+            )
+
+    def _run(self, sql: str, fragment: np.ndarray, position: np.ndarray, token: np.ndarray, cuts: pa.Table | None = None) -> list[tuple]:
+        self.db.register("fragments", pa.table({"fragment": fragment, "position": position, "token": token}))
+        if cuts is not None:
+            self.db.register("cuts", cuts)
         try:
-            done = self.db.sql(MERGE_SQL).to_arrow_table()
+            return self.db.sql(sql).fetchall()
         finally:
             self.db.unregister("fragments")
-        for number, ids in zip(done.column("fragment").to_pylist(), done.column("ids").to_pylist()):
-            self.fragments[pieces[number]] = np.array(ids, np.int32).tobytes()
+            if cuts is not None:
+                self.db.unregister("cuts")
+
+    def _merge_long(self, piece: bytes) -> bytes:
+        """Merge one long fragment, in stretches where it is longer than what is merged at once."""
+        own = frozenset(piece)
+        span = max(length for known, length in self.sets.items() if known <= own)
+        width = max(ROWS, 16 * span)
+        position, token = np.arange(len(piece), dtype=np.int64), self.single[np.frombuffer(piece, np.uint8)]
+        shift, idle = 0, 0
+        while idle < (2 if len(piece) > width else 1):
+            edges = [0, *range(width - shift, len(piece), width), len(piece)] if len(piece) > width else [0, len(piece)]
+            parts, changed = [], False
+            for lo, hi in zip(edges, edges[1:]):
+                a, b = np.searchsorted(position, (lo, hi))
+                if a == b:
+                    continue
+                cuts = pa.table({"fragment": pa.array([0], pa.int32()), "lo": [lo], "hi": [hi], "open_left": [lo == 0], "open_right": [hi == len(piece)]})
+                p, t, step = position[a:b], token[a:b], STEPS
+                while step == STEPS:
+                    ((_, ids, places, step),) = self._run(LONG_SQL.format(span=span, steps=STEPS), np.zeros(len(p), np.int32), p, t, cuts)
+                    changed |= step > 0
+                    p, t = np.array(places, np.int64), np.array(ids, np.int32)
+                parts.append((p, t))
+            position, token = np.concatenate([p for p, _ in parts]), np.concatenate([t for _, t in parts])
+            idle = 0 if changed else idle + 1
+            shift = width // 2 - shift
+        return token.astype(np.int32).tobytes()
 
 
 @lru_cache(maxsize=1)

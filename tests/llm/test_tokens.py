@@ -1,6 +1,8 @@
 import random
+import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,27 @@ def test_ids_and_counts(spark, ranks, reference):
     assert E.token_ids(spark.createDataFrame([], "doc_id bigint, text string"), "doc_id", "text").count() == 0
 
 
+def test_long_words(ranks, reference, monkeypatch):
+    """Unbroken sequences: same ids in stretches of any size, in time and memory that grow with the length."""
+    rng = random.Random(9)
+    alphabets = ["acgt", "ab", "a", "the of", "0123456789abcdef", "-=", "汉字表", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    cases = ["".join(rng.choice(a) for _ in range(n)).replace(" ", "") for a in alphabets for n in (1100,)]
+    cases += ["b" + "a" * 1501, "aab" * 500]
+    own = E.Encoder(ranks)
+    for text in cases:
+        want = reference.encode_ordinary(text)
+        for rows in (E.ROWS, 600):
+            monkeypatch.setattr(E, "ROWS", rows)
+            own.words.clear(), own.fragments.clear()
+            got = own.encode([text])[1]
+            assert np.frombuffer(got, np.int32).tolist() == want
+    monkeypatch.undo()
+    text = "".join(rng.choice("acgt") for _ in range(100_000))
+    begin = time.process_time()
+    assert len(own.encode([text])[1]) // 4 == len(reference.encode_ordinary(text))
+    assert time.process_time() - begin < 40
+
+
 def test_other_vocabularies():
     for name in ("byte_bpe_multi_50k", "word_bpe_49k", "piece_bpe_32k"):
         counts = K.counter(name)(["hello world, grüße", "", None])
