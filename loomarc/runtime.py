@@ -46,6 +46,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path object) of a path on any storage Spark can reach."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, found = _files(spark, path)
+    return files.exists(found)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, found = _files(spark, path)
+    files.mkdirs(found)
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a folder or file; false where there is none."""
+    files, found = _files(spark, source)
+    return files.exists(found) and files.rename(found, spark._jvm.org.apache.hadoop.fs.Path(target))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete scratch that is no longer read."""
+    files, found = _files(spark, path)
+    files.delete(found, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The full paths in a folder, in order; none where it is absent."""
+    files, found = _files(spark, path)
+    return sorted(str(s.getPath().toString()) for s in files.listStatus(found)) if files.exists(found) else []
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
