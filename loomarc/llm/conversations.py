@@ -3,17 +3,22 @@
 Rows become small *line features* (role, has text, call ids, result id) before anything is
 shuffled; texts never enter the state. A Structured Streaming query keeps, per
 ``(window, block of lines)``, the latest delivery of each line, buffers late arrivals, and
-emits one *block summary* when the block is closed or times out. Blocks are bounded by
-``LINES_PER_BLOCK`` distinct lines and spread by hash over state shards, so a window that
-holds a third of all rows lies on many keys. Block summaries combine associatively (first and last speaker, an
-unanswered user inside, call and result line ranges), so the verdict of a window needs
-only its few summaries.
+emits one *block summary* when the block is closed or times out. A closed block is kept for
+``retain`` longer: a redelivery or late line that changes it gives a new version of its summary,
+and the newest version counts. Blocks are bounded by ``LINES_PER_BLOCK`` distinct lines and spread
+by hash over state shards, so a window that holds a third of all rows lies on many keys. Block
+summaries combine associatively (first and last speaker, an unanswered user inside, call and
+result line ranges), so the verdict of a window needs only its few summaries.
+
+A finished table is replayed in the order of arrival, in several batches between which the
+watermark moves (``replay``), so closure, timeout and late lines take place as in a live stream.
 
 Defined results:
 
 * null window id or line number: no conversation can hold the row; it is left out.
-* null event time: the row counts as arrived with its ingestion time, else at ``EARLIEST``,
-  which also replaces earlier times.
+* the clock of a row is when it arrived: its ingestion time, else its event time, else
+  ``EARLIEST``, which also replaces earlier times. Clocks may be wrong: in a replay they only decide
+  when a row is read. In a live stream rows behind the watermark are dropped by Spark.
 * equal window, line and ingestion time: the larger row id counts.
 * a message that is null, not JSON or no JSON object: ``broken`` for its window.
 * a window without messages: ``empty``. An empty table: no rows.
@@ -32,10 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from loomarc.runtime import scratch_path
+from loomarc.runtime import discard, make_folder, move, scratch_path, small_or_shuffled, spread
 
 LINES_PER_BLOCK = 4096
-ROWS_PER_SHARD = 2048
+ROWS_PER_SHARD = 4096
+#: Rows of a state partition and of a batch of a replay.
+ROWS_PER_PARTITION, ROWS_PER_BATCH, MOST_BATCHES = 200_000, 100_000_000, 100
 #: Event time of rows that have none or an earlier one.
 EARLIEST = "1971-01-01"
 
@@ -92,8 +99,8 @@ FEATURES = (
 
 
 def clock() -> Column:
-    """The event time of a row; never at or below the epoch, where a watermark starts and would drop it."""
-    seen = F.coalesce(F.col("event_ts").cast("timestamp"), F.col("ingested_at").cast("timestamp"))
+    """The arrival of a row; never at or below the epoch, where a watermark starts and would drop it."""
+    seen = F.coalesce(F.col("ingested_at").cast("timestamp"), F.col("event_ts").cast("timestamp"))
     return F.coalesce(F.greatest(seen, F.lit(EARLIEST).cast("timestamp")), F.lit(EARLIEST).cast("timestamp"))
 
 
@@ -147,7 +154,7 @@ def _storable(x: str | None) -> str | None:
 
 STATE = "blocks binary"
 SUMMARY = (
-    "window_id bigint, block bigint, messages bigint, invalid boolean, first_speaker string, last_speaker string, "
+    "window_id bigint, block bigint, version int, messages bigint, invalid boolean, first_speaker string, last_speaker string, "
     "unanswered boolean, loose boolean, closed boolean, "
     "ids array<struct<id: string, call_min: bigint, call_max: bigint, result_min: bigint, result_max: bigint>>"
 )
@@ -187,19 +194,45 @@ def summarize_block(lines: list[tuple]) -> dict:
     }
 
 
+class Block:
+    """The lines of one block known so far, and what was emitted of it."""
+
+    __slots__ = ("clock", "closed", "lines", "version", "changed")
+
+    def __init__(self) -> None:
+        self.clock, self.closed, self.lines, self.version, self.changed = 0, False, {}, 0, False
+
+    def add(self, line, ingested, row_id, bits, calls, result, clock) -> None:
+        self.clock = max(self.clock, clock)
+        self.closed |= bool(bits & CLOSING)
+        known = self.lines.get(line)
+        if known is None or (ingested, row_id) > known[:2]:
+            self.changed |= known is None or known[2:] != (bits, calls, result)
+            self.lines[line] = (ingested, row_id, bits, calls, result)
+
+    def __getstate__(self):
+        return tuple(getattr(self, name) for name in self.__slots__)
+
+    def __setstate__(self, values) -> None:
+        for name, value in zip(self.__slots__, values):
+            setattr(self, name, value)
+
+
 class ShardState:
-    """The state function of one shard: the open blocks of some windows.
+    """The state function of one shard: the blocks of some windows.
 
     A call of a state function costs milliseconds however few rows it gets, so blocks
-    share keys: a shard holds about ``ROWS_PER_SHARD`` rows. It keeps only open blocks,
-    and its timer is set to the earliest of their due times.
+    share keys: a shard holds about ``ROWS_PER_SHARD`` rows. A block is due when its closing
+    event was seen and the watermark has passed its last arrival, or ``idle_ms`` later without one.
+    It is emitted then, once more whenever a later line changes it, and forgotten ``retain_ms``
+    after its last arrival (None: never).
     """
 
-    def __init__(self, idle_ms: int, end_of_input_ms: int | None):
-        self.idle_ms, self.end_ms = idle_ms, end_of_input_ms
+    def __init__(self, idle_ms: int, retain_ms: int | None, end_of_input_ms: int | None):
+        self.idle_ms, self.retain_ms, self.end_ms = idle_ms, retain_ms, end_of_input_ms
 
     def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blocks: dict[tuple, list] = pickle.loads(state.get[0]) if state.exists else {}
+        blocks: dict[tuple, Block] = pickle.loads(state.get[0]) if state.exists else {}
         if not state.hasTimedOut:
             for frame in frames:
                 columns = [frame[c].tolist() for c in ("window_id", "block", "line_no", "ingested", "row_id", "bits", "calls", "result")]
@@ -207,76 +240,91 @@ class ShardState:
                 for window, block, line, ingested, row_id, bits, calls, result, clock in zip(*columns, clocks):
                     held = blocks.get((window, block))
                     if held is None:
-                        held = blocks[(window, block)] = [0, False, {}]
-                    if clock > held[0]:
-                        held[0] = clock
-                    if bits & CLOSING:
-                        held[1] = True
-                    known = held[2].get(line)
-                    if known is None or (ingested, row_id) > known[:2]:
-                        held[2][line] = (ingested, row_id, bits, tuple(calls), result)
+                        held = blocks[(window, block)] = Block()
+                    held.add(line, ingested, row_id, bits, tuple(calls), result, clock)
         now = state.getCurrentWatermarkMs()
-        due = [k for k in blocks if state.hasTimedOut and self._due(blocks[k]) <= now]
+        due = [k for k, held in blocks.items() if held.changed and (held.version or self._due(held) <= now)]
         if due:
-            yield self._emit({k: blocks.pop(k) for k in due})
+            yield self._emit({k: blocks[k] for k in due})
+        if self.retain_ms is not None:
+            blocks = {k: held for k, held in blocks.items() if held.changed or self._due(held) + self.retain_ms > now}
         if blocks:
             state.update((pickle.dumps(blocks, protocol=5),))
-            state.setTimeoutTimestamp(max(min(map(self._due, blocks.values())), now + 1))
+            times = [self._due(held) if held.changed else self._due(held) + self.retain_ms for held in blocks.values() if held.changed or self.retain_ms is not None]
+            if times:
+                state.setTimeoutTimestamp(max(min(times), now + 1))
         elif state.exists:
             state.remove()
 
-    def _due(self, held: list) -> int:
-        due = held[0] + (0 if held[1] else self.idle_ms)
+    def _due(self, held: Block) -> int:
+        due = held.clock + (0 if held.closed else self.idle_ms)
         return due if self.end_ms is None else min(due, self.end_ms)
 
-    def _emit(self, blocks: dict[tuple, list]) -> pd.DataFrame:
+    def _emit(self, blocks: dict[tuple, Block]) -> pd.DataFrame:
         rows = []
-        for (window, block), (_, _, lines) in blocks.items():
-            found = summarize_block([(n, *lines[n][2:]) for n in sorted(lines)])
-            rows.append({"window_id": window, "block": block, **found})
+        for (window, block), held in blocks.items():
+            held.version, held.changed = held.version + 1, False
+            found = summarize_block([(n, *held.lines[n][2:]) for n in sorted(held.lines)])
+            rows.append({"window_id": window, "block": block, "version": held.version, **found})
         return pd.DataFrame(rows)
 
 
+def _ms(duration: str) -> int:
+    return int(pd.Timedelta(duration).total_seconds() * 1000)
+
+
 def stream_summaries(
-    features: DataFrame, shards: int, idle: str = "1 day", lateness: str = "1 hour", end_of_input_ms: int | None = None
+    features: DataFrame, shards: int, idle: str = "1 day", lateness: str = "1 hour", retain: str | None = "30 days", end_of_input_ms: int | None = None
 ) -> DataFrame:
-    """Block summaries of a stream of line features.
+    """Versions of block summaries of a stream of line features.
 
-    A block is emitted when the watermark (latest event time less ``lateness``) passes its
-    last event time, if its closing event is there, and ``idle`` later if not.
-    ``end_of_input_ms`` is for replays of a finite table: the event time by which every
-    open block is due.
+    The watermark is ``lateness`` behind the latest arrival. ``end_of_input_ms`` is for replays of
+    a finite table: the time by which every block still open is due.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return (
         features.withColumn("shard", F.pmod(F.xxhash64("window_id", "block"), F.lit(shards)))
         .withWatermark("clock", lateness)
         .groupBy("shard")
         .applyInPandasWithState(
-            ShardState(idle_ms, end_of_input_ms), SUMMARY, STATE, "append", GroupStateTimeout.EventTimeTimeout
+            ShardState(_ms(idle), None if retain is None else _ms(retain), end_of_input_ms), SUMMARY, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
 
-def replay(spark: SparkSession, path: str) -> DataFrame:
+def replay(spark: SparkSession, path: str, batches: int = 3, idle: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Run the streaming query over a finite table until all of it is emitted.
 
-    The table arrives in one micro-batch: no row is late against a watermark that has
-    not moved yet, so wrong clocks drop nothing, and no lateness has to be allowed for.
-    The batch after it times every block out. State is kept in RocksDB below the shared folder, not in executor heaps.
+    Line features are written once, by quantiles of their arrival (no shuffle), and moved
+    into the watched folder one quantile after another: a batch never holds a row that arrived
+    before the one before it ended, so none is late, while lines come after their block was
+    closed or timed out and amend it. At least ``batches`` batches, and as many as keep one within
+    ``ROWS_PER_BATCH`` rows, up to ``MOST_BATCHES`` of then more rows. Nothing is forgotten before the end (``retain`` is None), as the last
+    delivery of a line counts whenever it arrives. State is kept in RocksDB below the shared folder, not in
+    executor heaps. The query has a session of its own: settings of the caller's do not change.
     """
-    schema = spark.read.parquet(path).schema
-    last, count = spark.read.parquet(path).agg(F.unix_millis(F.max(clock())), F.count(F.lit(1))).first()
-    shards = max(16, -(-count // ROWS_PER_SHARD))
-    end_ms = None if last is None else last - 1
+    rows = spark.read.parquet(path)
+    count = rows.count()
+    batches = max(batches, min(MOST_BATCHES, -(-count // ROWS_PER_BATCH)))
+    shares = [(i + 1) / batches for i in range(batches - 1)]
+    last, bounds = rows.agg(F.unix_millis(F.max(clock())), F.percentile_approx(F.unix_millis(clock()), shares or [0.5], 1000)).first()
     where = scratch_path(spark, "conversations")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    kept = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = spark.readStream.schema(schema).parquet(path + "*")
+    number = F.size(F.filter(F.lit((bounds or [])[: len(shares)]).cast("array<bigint>"), lambda bound: bound < F.unix_millis("clock")))
+    line_features(spread(rows)).withColumn("batch", number).write.partitionBy("batch").parquet(where + "/staged")
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, -(-count // ROWS_PER_PARTITION))))
+    shards = max(16, -(-count // ROWS_PER_SHARD))
+    end_ms = None if last is None else last - _ms(lateness) - 1
+    make_folder(spark, where + "/in")
+    for i in range(batches):
+        if i == batches - 1:  # after the last rows the watermark moves once more, and every block is due
+            own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+        move(spark, f"{where}/staged/batch={i}", f"{where}/in/{i}")
+        arrived = own.readStream.schema(FEATURES).option("recursiveFileLookup", "true").parquet(where + "/in")
         query = (
-            stream_summaries(line_features(rows), shards, lateness="0 seconds", end_of_input_ms=end_ms)
+            stream_summaries(arrived, shards, idle, lateness, None, end_ms)
             .writeStream.format("parquet")
             .option("path", where + "/out")
             .option("checkpointLocation", where + "/checkpoint")
@@ -284,8 +332,8 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set(provider, kept)
+    for done in ("staged", "in", "checkpoint"):
+        discard(spark, f"{where}/{done}")
     return spark.read.schema(query_schema(spark)).parquet(where + "/out")
 
 
@@ -296,9 +344,12 @@ def query_schema(spark: SparkSession):
 def verdicts(summaries: DataFrame) -> DataFrame:
     """One row per window: window_id, messages, closed, defect (null for a sound conversation).
 
-    Shuffles summaries only. Blocks of one window are few (lines / LINES_PER_BLOCK), so the
+    Of each block the newest version counts. Shuffles summaries only. Blocks of one window are few (lines / LINES_PER_BLOCK), so the
     window function over them stays small even for the largest window.
     """
+    parts = [F.col(c) for c in summaries.columns if c not in ("window_id", "block", "version")]
+    newest = summaries.groupBy("window_id", "block").agg(F.max_by(F.struct(*parts), "version").alias("s"))
+    summaries = newest.select("window_id", "block", "s.*")
     ids = summaries.select("window_id", F.explode("ids").alias("x")).select("window_id", "x.*")
     # A tool id seen in one block only is settled there; ids that span blocks meet by (window, id).
     unmatched = (
@@ -355,15 +406,16 @@ def turns(rows: DataFrame, judged: DataFrame) -> DataFrame:
             )
 
     newest = F.struct(F.unix_micros(F.col("ingested_at").cast("timestamp")), "row_id")
+    sound = small_or_shuffled(judged.where(F.col("defect").isNull()).select("window_id"))
     latest = (
         rows.where(F.col("window_id").isNotNull() & F.col("line_no").isNotNull())
+        .join(sound, "window_id", "left_semi")  # texts of other windows are never shuffled
         .groupBy("window_id", "line_no")
         .agg(F.max_by(F.struct("event_type", "message"), newest).alias("m"))
         .where(F.col("m.event_type") == "message")
         .select("window_id", "line_no", F.col("m.message").alias("message"))
     )
-    sound = judged.where(F.col("defect").isNull()).select("window_id")
-    kept = latest.join(sound, "window_id", "left_semi").mapInArrow(run, TURNS)
+    kept = latest.mapInArrow(run, TURNS)
     block = F.floor(F.col("line_no") / LINES_PER_BLOCK).alias("block")
     counts = kept.groupBy("window_id", block).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("window_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
@@ -401,5 +453,3 @@ def window_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.groupBy(F.coalesce("defect", F.lit("none")).alias("defect")).agg(
         F.count(F.lit(1)).alias("windows"), F.sum("messages").alias("messages")
     )
-
-

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,12 +93,74 @@ def test_blocks_combine(spark, monkeypatch, width):
             for r in sorted((r for r in rows if r[2] == window and r[3] // width == block), key=lambda r: r[3]):
                 bits, calls, result = C.read_message(r[5])[:3] if r[4] == "message" else (0, [], None)
                 lines.append((r[3], bits, calls, result))
-            summaries.append({"window_id": window, "block": block, **C.summarize_block(lines)})
-    df = spark.createDataFrame([tuple(s[c] for c in ("window_id", "block", "messages", "invalid", "first_speaker", "last_speaker", "unanswered", "loose", "closed", "ids")) for s in summaries], C.SUMMARY)
+            summaries.append({"window_id": window, "block": block, "version": 1, **C.summarize_block(lines)})
+    df = spark.createDataFrame([tuple(s[c] for c in ("window_id", "block", "version", "messages", "invalid", "first_speaker", "last_speaker", "unanswered", "loose", "closed", "ids")) for s in summaries], C.SUMMARY)
     got = {r.window_id: r.defect for r in C.verdicts(df).where(F.col("defect").isNotNull()).collect()}
     assert got == verdict(rows)
 
 
+class Held:
+    """What Spark hands to a state function."""
+
+    def __init__(self):
+        self.get, self.hasTimedOut, self.mark, self.timeout = None, False, 0, None
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.mark
+        self.timeout = at
+
+
+def feature(line, bits, at, ingested=0, row_id=0, window=1):
+    return {"window_id": window, "block": 0, "line_no": line, "ingested": ingested, "row_id": row_id, "bits": bits, "calls": [], "result": None, "clock": pd.Timestamp(at, unit="ms")}
+
+
+def test_redelivery_after_closure(spark):
+    user, reply, close = C.MESSAGE | C.TEXT | C.USER, C.MESSAGE | C.TEXT | C.ASSISTANT, C.CLOSING
+    state, own = Held(), C.ShardState(idle_ms=1000, retain_ms=5000, end_of_input_ms=None)
+
+    def call(rows, mark):
+        state.mark, state.hasTimedOut = mark, not rows
+        return [r for frame in own((0,), iter([pd.DataFrame(rows)] if rows else []), state) for r in frame.to_dict("records")]
+
+    assert call([feature(1, user, 100), feature(2, reply, 110), feature(3, close, 120)], 0) == []
+    first = call([], 121)
+    assert [(r["version"], r["messages"], r["first_speaker"]) for r in first] == [(1, 2, "user")]
+    assert call([feature(1, user, 130, ingested=5)], 125) == []  # the same line again changes nothing
+    second = call([feature(2, user, 140, ingested=6)], 130)  # another text of a line known does
+    assert [(r["version"], r["messages"], r["unanswered"]) for r in second] == [(2, 2, True)]
+    assert call([feature(2, reply, 150, ingested=3)], 140) == []  # delivered before what is known
+    empty = {"ids": []}
+    df = spark.createDataFrame([tuple({**r, **empty}[c] for c in ("window_id", "block", "version", "messages", "invalid", "first_speaker", "last_speaker", "unanswered", "loose", "closed", "ids")) for r in first + second], C.SUMMARY)
+    assert [(r.window_id, r.messages, r.defect) for r in C.verdicts(df).collect()] == [(1, 2, "missing_reply")]
+    assert state.exists and call([], state.timeout + 1) == [] and not state.exists  # forgotten
+    # without a closing event the idle time decides
+    assert call([feature(1, user, 9000)], 8000) == [] and call([], 9999) == [] and len(call([], 10_001)) == 1
+
+
+def test_batches_and_watermarks(spark, tmp_path):
+    """Blocks are emitted while later batches are still to come, and amended by them."""
+    rows = generated(11, 50)
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.parquet(str(tmp_path / "t.parquet"))
+    spark.createDataFrame(rows[:5], SCHEMA).write.parquet(str(tmp_path / "t.parquet_old"))  # a neighbour is not read
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.shuffle.partitions")
+    summaries = C.replay(spark, str(tmp_path / "t.parquet"), batches=5, idle="1 hour", lateness="10 minutes")
+    versions = [r.version for r in summaries.collect()]
+    assert max(versions) > 1 and min(versions) == 1
+    assert {r.window_id: r.defect for r in C.verdicts(summaries).collect() if r.defect} == verdict(rows)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_roles_and_messages():
     assert {C.plain_role(x) for x in ("toolResult", "tool-result", "TOOL_RESULT ", "tool result")} == {"toolresult"}
     assert C.read_message('{"role":"user","content":NaN}')[0] & C.INVALID and C.read_message(None)[0] & C.INVALID
