@@ -6,6 +6,9 @@ blanks, invisible characters, compatibility ideographs, radicals and ligatures)
 list of look-alike letters, and is checked for conflicts: every target must map to itself,
 so the form is idempotent and no rule feeds another.
 
+There are two forms. The *key* compares: look-alike letters become one, whatever the word. The
+form for *reading* (``Readable``) leaves the letters of a word that is in one script.
+
 What is visible stays: letter case, accents, digits against letters, raised and circled
 digits, the length of dashes, quote styles, a blank or none. What is not is unified: full-
 and half-width forms, the width and number of blanks in a row, blanks at the ends, order and
@@ -17,6 +20,7 @@ Line breaks stay (CR LF becomes LF). Texts of any length take linear time.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +49,9 @@ SAME_GLYPH_RANGES = (
 SEQUENCES = {"\r\n": "\n", "...": "...", "…": "..."}
 
 
+_BLANKS = re.compile(" {2,}")
+
+
 def _invisible(ch: str) -> bool:
     """Characters that are not drawn: format characters, variation selectors, fillers."""
     return unicodedata.category(ch) == "Cf" or 0xFE00 <= ord(ch) <= 0xFE0F or ch in "͏ᅟᅠ឴឵ㅤﾠ" or 0xE0100 <= ord(ch) <= 0xE01EF
@@ -67,7 +74,7 @@ class Transducer:
             self._rule(chr(code), " ")
         for target, sources in look_alikes.items():
             for ch in sources:
-                self._rule(ch, target, replace=True)
+                self._rule(ch, target)
         for source, target in sequences.items():
             if source != target:
                 self._rule(source, target)
@@ -79,10 +86,13 @@ class Transducer:
         heads = "|".join(regex.escape(s) for s in longest)
         self._units = regex.compile((heads + "|" if heads else "") + r"\X")
         self._memo: dict[str, str] = {}
+        self._heads = {s[0] for s in longest}
+        self._odd: set[str] = set()
+        self._plain: set[str] = set(map(chr, range(0x21, 0x7F))) - set("".join(longest)) | {" ", "\n"}
 
-    def _rule(self, source: str, target: str, replace: bool = False) -> None:
+    def _rule(self, source: str, target: str) -> None:
         known = self.rules.get(source)
-        if known is not None and known != target and not replace:
+        if known is not None and known != target:
             raise ValueError(f"conflict: {source!r} to {known!r} and {target!r}")
         if source != target:
             self.rules[source] = target
@@ -109,12 +119,24 @@ class Transducer:
                 out.append(ch)
         return unicodedata.normalize("NFC", "".join(out))
 
+    def _stays(self, ch: str) -> bool:
+        """Whether a character is its own form and never joins another."""
+        kind = unicodedata.category(ch)
+        if kind[0] in "MC" or "ᄀ" <= ch <= "ᇿ" or "ힰ" <= ch <= "퟿" or ch in self._heads:
+            return False
+        return self._cluster(ch) == ch
+
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
         if text.isascii():
             if "\t" not in text and "\r" not in text and "\x0b" not in text and "\x0c" not in text:
-                return regex.sub(" {2,}", " ", text).strip(" ") if " " in text else text
+                return _BLANKS.sub(" ", text).strip(" ") if " " in text else text
+        odd = set(text) - self._plain
+        for ch in odd - self._odd:
+            (self._plain if self._stays(ch) else self._odd).add(ch)
+        if odd <= self._plain:  # every character is its own form, wherever it stands
+            return _BLANKS.sub(" ", text).strip(" ") if " " in text else text
         out, memo, gap, mark = [], self._memo, True, False
         for unit in self._units.findall(text):
             plain = memo.get(unit)
@@ -135,7 +157,50 @@ class Transducer:
         return unicodedata.normalize("NFC", joined) if mark else joined
 
 
+_CYRILLIC = regex.compile(r"\p{Cyrillic}")
+_GREEK = regex.compile(r"\p{Greek}")
+_OWN_WORD = regex.compile(r"[\p{L}\p{M}]+")
+
+
+class Readable:
+    """The form for reading: like the key, but look-alike letters of a word that is all in one script stay.
+
+    Words that mix scripts are spoofed or mistyped: they become Latin where every other letter
+    has a Latin look-alike, and else the script that cannot be written in Latin letters. So
+    ``Ρinthеr`` is written in Latin and a Russian word keeps its Cyrillic letters.
+    """
+
+    def __init__(self) -> None:
+        alike = {ch: target for target, sources in LOOK_ALIKES.items() for ch in sources}
+        self.to_latin = {ch: target for ch, target in alike.items() if target.isascii()}
+        self.back = {p: {} for p in (_CYRILLIC, _GREEK)}
+        for ch, target in self.to_latin.items():
+            for pattern, table in self.back.items():
+                if pattern.match(ch):
+                    table.setdefault(target, ch)
+        signs = {target: "".join(c for c in sources if not c.isalpha() or not (_CYRILLIC.match(c) or _GREEK.match(c))) for target, sources in LOOK_ALIKES.items()}
+        self._rest = Transducer({target: sources for target, sources in signs.items() if sources})
+
+    def __call__(self, text: str | None) -> str | None:
+        plain = self._rest(text)
+        if plain is None or plain.isascii():
+            return plain
+        return _OWN_WORD.sub(lambda m: self._word(m.group()), plain) if _CYRILLIC.search(plain) or _GREEK.search(plain) else plain
+
+    def _word(self, word: str) -> str:
+        if not regex.search(r"\p{Latin}", word):
+            return word
+        for pattern, table in self.back.items():
+            foreign = pattern.findall(word)
+            if foreign and all(c in self.to_latin for c in foreign):
+                word = "".join(self.to_latin.get(c, c) if pattern.match(c) else c for c in word)
+            elif foreign and all(c in table for c in regex.findall(r"\p{Latin}", word)):
+                word = "".join(table.get(c, c) for c in word)
+        return word
+
+
 _TRANSDUCER: Transducer | None = None
+_READABLE: Readable | None = None
 
 
 def transducer() -> Transducer:
@@ -146,6 +211,14 @@ def transducer() -> Transducer:
     return _TRANSDUCER
 
 
+def readable() -> Readable:
+    """The process-wide form for reading; compiled on first use."""
+    global _READABLE
+    if _READABLE is None:
+        _READABLE = Readable()
+    return _READABLE
+
+
 def canonical_text(texts: Iterable[str | None]) -> Iterator[str | None]:
     form = transducer()
     return map(form, texts)
@@ -157,9 +230,16 @@ def canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: form(t) if isinstance(t, str) else None)
 
 
-def with_canonical(df: DataFrame, column: str, into: str) -> DataFrame:
-    """``df`` with the canonical form of a text column; Arrow batches, no shuffle."""
-    return df.withColumn(into, canonical(F.col(f"`{column}`")))
+@F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("key", T.StringType())]))
+def both_forms(texts: pd.Series) -> pd.DataFrame:
+    form, key = readable(), transducer()
+    whole = [t if isinstance(t, str) else None for t in texts]
+    return pd.DataFrame({"form": [form(t) for t in whole], "key": [key(t) for t in whole]})
+
+
+def with_forms(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``form`` (for reading) and ``key`` (for comparing) of a text column; Arrow batches, no shuffle."""
+    return df.withColumn("_forms", both_forms(F.col(f"`{column}`"))).select("*", "_forms.form", "_forms.key").drop("_forms")
 
 
 def equal_looking_pairs(
@@ -186,12 +266,12 @@ def found(spark, sf_dir):
 
 
 def forms(spark, sf_dir):
-    """Every answer in its canonical form, and whether that changed it."""
+    """Every answer in the form for reading, the key it compares by, and whether the form differs from it."""
     answers = spark.read.parquet(f"{sf_dir}/recall_answers.parquet").select("answer_id", "answer")
-    formed = with_canonical(answers, "answer", "form")
-    return formed.select("answer_id", "form", F.coalesce(F.col("form") != F.col("answer"), F.lit(False)).alias("changed"))
+    changed = F.coalesce(F.col("form") != F.col("answer"), F.lit(False)).alias("changed")
+    return with_forms(answers, "answer").select("answer_id", "form", "key", changed)
 
 
 def gold_forms(spark, sf_dir):
     golds = spark.read.parquet(f"{sf_dir}/recall_qa.parquet").select("qa_id", F.posexplode("golds").alias("gold_no", "gold"))
-    return with_canonical(golds, "gold", "form").select("qa_id", "gold_no", "form")
+    return with_forms(golds, "gold").select("qa_id", "gold_no", "form", "key")

@@ -1,7 +1,7 @@
 """Broken prompt and response pairs: one defect type for each defective answer.
 
 Copied coverage comes from a suffix automaton of the prompt: the response is traversed
-through it once, and the stretches it shares with the prompt are measured. Refusals are
+through it once, and the stretches it shares with the prompt are summed, on both sides. Refusals are
 found by an Aho-Corasick automaton over fixed phrases, unclosed quotes and brackets by a
 delimiter stack, languages by votes of function words and scripts. An answer that equals a
 gold is never defective, unless it is empty.
@@ -33,6 +33,15 @@ from loomarc.runtime import small_or_shuffled, spread
 
 #: Share of the question that a copy must hold: all but its last word or characters.
 COPY_SHARE = 0.6
+#: Letters of the shortest stretch that counts as copied, in scripts with and without blanks.
+STRETCH, STRETCH_CJK = 6, 3
+#: Letters of the prompts whose automata are kept at once.
+KEPT_LETTERS = 100_000
+# What may stand beside a copied question without answering it.
+HEDGES = (
+    "unsure|not sure|no idea|idk|i wonder|hmm|please|thanks|thank you|sorry|unsicher|keine ahnung|danke|bitte|je ne sais pas|merci|"
+    "no estoy seguro|gracias|não tenho certeza|obrigado|не уверен|спасибо|不确定|谢谢|不明"
+).split("|")
 
 _CLOSERS = {"“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "{": "}", "《": "》", "【": "】", "„": "“"}
 _TERMINAL = ".。!！?？…"
@@ -48,12 +57,13 @@ class SuffixAutomaton:
 
     def __init__(self, text: str):
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.end = [-1], [0], [0]
         last = 0
-        for ch in text:
+        for i, ch in enumerate(text):
             at = len(self.next)
             self.next.append({})
             self.length.append(self.length[last] + 1)
+            self.end.append(i + 1)
             self.link.append(0)
             p = last
             while p != -1 and ch not in self.next[p]:
@@ -67,6 +77,7 @@ class SuffixAutomaton:
                     clone = len(self.next)
                     self.next.append(dict(self.next[q]))
                     self.length.append(self.length[p] + 1)
+                    self.end.append(self.end[q])
                     self.link.append(self.link[q])
                     while p != -1 and self.next[p].get(ch) == q:
                         self.next[p][ch] = clone
@@ -74,13 +85,18 @@ class SuffixAutomaton:
                     self.link[q] = self.link[at] = clone
             last = at
 
-    def coverage(self, text: str, least: int) -> tuple[int, int]:
-        """(characters of ``text`` inside shared stretches of ``least`` or more, longest stretch)."""
+    def coverage(self, text: str, least: int) -> tuple[int, int, int]:
+        """Characters of ``text`` inside shared stretches of ``least`` or more, characters of the prompt
+        that these give back, and the longest stretch."""
         state = run = longest = covered = upto = 0
+        given: list[tuple[int, int]] = []
         for i, ch in enumerate(text):
+            before, length = state, run
             while state and ch not in self.next[state]:
                 state = self.link[state]
                 run = self.length[state]
+            if length >= least and (run < length or ch not in self.next[state]):  # a stretch ended
+                given.append((self.end[before] - length, self.end[before]))
             if ch in self.next[state]:
                 state = self.next[state][ch]
                 run += 1
@@ -88,12 +104,63 @@ class SuffixAutomaton:
             if run >= least:
                 covered += i + 1 - max(upto, i + 1 - run)
                 upto = i + 1
-        return covered, longest
+        if run >= least:
+            given.append((self.end[state] - run, self.end[state]))
+        back = reach = 0
+        for a, b in sorted(given):
+            back += max(0, b - max(a, reach))
+            reach = max(reach, b)
+        return covered, back, longest
+
+
+_AUTOMATA: dict[str, SuffixAutomaton] = {}
 
 
-@lru_cache(maxsize=4096)
 def _automaton(prompt: str) -> SuffixAutomaton:
-    return SuffixAutomaton(prompt)
+    """The automaton of a prompt; those kept hold ``KEPT_LETTERS`` letters together, longer ones are not kept."""
+    found = _AUTOMATA.get(prompt)
+    if found is None:
+        found = SuffixAutomaton(prompt)
+        if sum(map(len, _AUTOMATA)) + len(prompt) > KEPT_LETTERS:
+            _AUTOMATA.clear()
+        if len(prompt) <= KEPT_LETTERS:
+            _AUTOMATA[prompt] = found
+    return found
+
+
+_LABEL = re.compile(r"^\W*(?:\w{1,12}\s?[:：])")
+_HEDGE_END = re.compile(r"[\W_]*\b(?:" + "|".join(sorted({re.escape(h) for h in HEDGES}, key=len, reverse=True)) + r")[\W_]*$")
+
+
+def copies(text: str, ask: str) -> bool:
+    """Whether a folded answer gives a folded question back, in whatever pieces, and says nothing else.
+
+    All its letters lie in stretches it shares with the question (a label before and hedges
+    behind it aside), which give back ``COPY_SHARE`` of the question or more.
+    """
+    prompt = letters(ask)
+    least = STRETCH_CJK if _CJK.search(prompt) else STRETCH
+    own = letters(text)
+    need = COPY_SHARE * len(prompt)
+    if not prompt or len(own) < need:
+        return False
+    if own.startswith(prompt) and prompt.startswith(own[len(prompt) :]):
+        return True
+    while own[-least:] not in prompt and (m := _HEDGE_END.search(text)):
+        text = text[: m.start()]
+        own = letters(text)
+    # An answer that does not end in letters of the question, or has fewer than are needed, is none: no automaton.
+    if len(own) < max(need, 4) or own[-min(least, len(prompt)) :] not in prompt:
+        return False
+    label = _LABEL.match(text)
+    rests = [own, own[len(letters(label.group())) :]] if label else [own]
+    whole = _automaton(prompt)
+    for rest in rests:
+        if len(rest) >= max(need, 4):
+            covered, back, _ = whole.coverage(rest, min(least, len(prompt)))
+            if covered == len(rest) and back >= need:
+                return True
+    return False
 
 
 @lru_cache(maxsize=1)
@@ -121,30 +188,41 @@ def folded(text: str) -> str:
     return " ".join(plain.casefold().replace("’", "'").split())
 
 
+_NO_LETTERS = re.compile(r"[\W_]+")
+
+
 def letters(text: str) -> str:
-    return "".join(ch for ch in text if ch.isalnum())
+    """The letters and digits of a text."""
+    return _NO_LETTERS.sub("", text)
 
 
-_VOTERS = {lang: frozenset(transducer()(w) for w in words) for lang, words in STOPWORDS.items() if lang != "ru"}
+_VOTES: dict[str, tuple[str, ...]] = {}
+for _lang, _words in STOPWORDS.items():
+    for _voter in {transducer()(w) for w in _words} if _lang != "ru" else ():
+        _VOTES[_voter] = (*_VOTES.get(_voter, ()), _lang)
+_FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 
 @lru_cache(maxsize=65536)
 def language_of(text: str) -> str | None:
     """The language of prose by script and function words; None for names, numbers, paths and short bits."""
-    plain = "".join(ch for ch in unicodedata.normalize("NFKC", text) if unicodedata.category(ch) != "Cf")
+    plain = text if text.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", text))
     han, kana = len(_HAN.findall(plain)), len(_KANA.findall(plain))
-    alphas = sum(ch.isalpha() for ch in plain)
-    if han + kana >= 4 and (han + kana) * 2 >= alphas:
+    if han + kana >= 4 and (han + kana) * 2 >= sum(map(str.isalpha, plain)):
         return "ja" if kana and kana * 10 >= han else "zh"
-    words = [w for w in _WORD.findall(folded(text))]
+    words = _WORD.findall(folded(text))
     if not words:
         return None
-    cyrillic = sum(any("Ѐ" <= ch <= "ӿ" for ch in w) for w in words)
+    cyrillic = 0 if plain.isascii() else sum(_CYRILLIC.search(w) is not None for w in words)
     if cyrillic >= 2 and cyrillic * 2 >= len(words):
         return "ru"
-    votes = sorted(((sum(w in voters or w.split("'")[0] in voters for w in words), lang) for lang, voters in _VOTERS.items()), reverse=True)
-    if votes[0][0] >= 2 and votes[0][0] > votes[1][0]:
-        return votes[0][1]
+    votes: Counter = Counter()
+    for w in words:
+        votes.update({*_VOTES.get(w, ()), *(_VOTES.get(w.split("'")[0], ()) if "'" in w else ())})
+    ranked = votes.most_common(2)
+    if ranked and ranked[0][1] >= 2 and (len(ranked) == 1 or ranked[0][1] > ranked[1][1]):
+        return ranked[0][0]
     return None
 
 
@@ -170,6 +248,18 @@ def unclosed(text: str) -> bool:
 def border(gold: str, answer: str) -> int:
     """Length of the longest start of ``gold`` that ends ``answer``."""
     tail = answer[-len(gold) :]
+    if not tail or not gold:
+        return 0
+    if tail == gold:
+        return len(gold)
+    at = len(gold)
+    for _ in range(32):  # few places end in the last two characters, in most texts
+        at = gold.rfind(tail[-2:], 0, at)
+        if at < 0:
+            return int(gold[0] == tail[-1])
+        if tail.endswith(gold[: at + len(tail[-2:])]):
+            return at + len(tail[-2:])
+        at += len(tail[-2:]) - 1
     joined = gold + "\0" + tail
     fail = [0] * len(joined)
     for i in range(1, len(joined)):
@@ -271,16 +361,8 @@ def verdict(answer: str | None, question: str | None, golds: list[str | None] |
     known = [folded(g) for g in [*(golds or []), best] if g]
     if text in known or text.rstrip(_TERMINAL) in known:
         return None, ""
-    if ask:
-        own, prompt = letters(text), letters(ask)
-        whole = _automaton(prompt)
-        covered, longest = whole.coverage(own, max(4, int(COPY_SHARE * len(prompt))))
-        label = re.match(r"^\W*(?:\w{1,12}\s?[:：])", text)
-        rest = len(own) - (len(letters(label.group())) if label and covered < len(own) else 0)
-        if covered and covered >= rest and (own.find(prompt[:longest]) >= 0 or longest == len(prompt)):
-            return "copies_question", ""
-        if covered and own.startswith(prompt) and prompt.startswith(own[len(prompt) :]):
-            return "copies_question", ""
+    if ask and copies(text, ask):
+        return "copies_question", ""
     real = [g for g in known if not refuses(g)]
     if real and refuses(text) and not any(len(g) > 2 and g in text for g in real):
         if not any(refuses(g) for g in [folded(g) for g in golds or [] if g]):

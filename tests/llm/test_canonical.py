@@ -30,6 +30,29 @@ def test_idempotent(text):
     assert FORM(FORM(text)) == FORM(text)
 
 
+def test_quick_way_equals_the_units():
+    slow = C.Transducer()
+    slow._plain, slow._odd, slow._stays = set(), set(), lambda ch: False
+    for text in ("мама и Rom", "汉字 と カナ", "é à  ü", "한글 각", "👩‍👩‍👧 ok", "🇩🇪🇫🇷", "a\u0301b", "x \u3000 y", "ﬁn…", "각\u1100\u1161\u11a8"):
+        assert FORM(text) == slow(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=30))
+def test_quick_way_on_any_text(text):
+    slow = C.Transducer.__new__(C.Transducer)
+    slow.__dict__ = {**FORM.__dict__, "_plain": set(), "_odd": set(), "_stays": lambda ch: False}
+    assert FORM(text) == slow(text)
+
+
+def test_reading_keeps_whole_words():
+    read = C.readable()
+    assert read("мама ест сор") == "мама ест сор" and FORM("мама") != "мама"
+    assert read("Ρinthеr") == "Pinther" and read("ｐａｙ­ pal") == "pay pal" and read("пpивет") == "привет"
+    assert read("Αθήνα ﬁn") == "Αθήνα fin" and read(None) is None and read("") == ""
+    assert all(FORM(read(t)) == FORM(t) for t in ("мама Ρinthеr пpивет", "Αθήνα", "Ａ　б"))
+
+
 def test_conflicts_are_refused():
     with pytest.raises(ValueError):
         C.Transducer({"a": "b", "b": "c"}, {})

@@ -19,7 +19,19 @@ Q = "Which path did the user give for the renderer in note 1160?"
 def test_coverage_equals_brute_force(prompt, text, least):
     covered = {k for i in range(len(text)) for j in range(i + least, len(text) + 1) if text[i:j] in prompt for k in range(i, j)}
     longest = max([j - i for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in prompt], default=0)
-    assert P.SuffixAutomaton(prompt).coverage(text, least) == (len(covered), longest)
+    got = P.SuffixAutomaton(prompt).coverage(text, least)
+    assert (got[0], got[2]) == (len(covered), longest) and (got[1] > 0) == (got[0] > 0) and got[1] <= min(len(prompt), len(covered) * max(1, len(prompt)))
+
+
+def test_pieces_of_the_question():
+    a, b = P.SuffixAutomaton("abcdefgh"), "efghabcd"
+    assert a.coverage(b, 3) == (8, 8, 4) and a.coverage("abcdabcd", 3) == (8, 4, 4) and a.coverage("xxabc", 3) == (3, 3, 3)
+
+
+def test_kept_automata_are_bounded():
+    for i in range(30):
+        P._automaton(f"{i:02d}" * 5_000)
+    assert sum(map(len, P._AUTOMATA)) <= P.KEPT_LETTERS
 
 
 def test_border():
@@ -34,6 +46,8 @@ def test_border():
     [
         (None, Q, ["a"], "empty"), ("\\n ​", Q, ["a"], "empty"), ("...", Q, ["a"], "empty"), ("...", None, None, "empty"), ("x", None, None, None),
         (Q, Q, ["a/b.md"], "copies_question"), (Q[:-6], Q, ["a/b.md"], "copies_question"), (f"**{Q} {Q}", Q, ["a/b.md"], "copies_question"), (f"Q: {Q}", Q, ["a/b.md"], "copies_question"),
+        ("for the renderer in note 1160, which path did the user give", Q, ["a/b.md"], "copies_question"), (Q + " - unsure", Q, ["a/b.md"], "copies_question"), (Q + " Not sure...", Q, ["a/b.md"], "copies_question"),
+        (Q + " X1", Q, ["a/b.md"], None), ("The renderer in note 1160", Q, ["a/b.md"], None), ("在注记里用户给渲染器哪条路径", "用户在注记里给渲染器哪条路径？", ["不改"], None), ("给渲染器哪条路径，用户在注记里", "用户在注记里给渲染器哪条路径？", ["不改"], "copies_question"),
         (Q + " It is ~/a/b.md.", Q, ["~/a/b.md"], None), ("Sorry, there is no way for me to tell.", Q, ["~/a/b.md"], "refusal"), ("不好意思，不可确定。", "问题是什么？", ["不改"], "refusal"),
         ("cannot be determined", Q, ["not stated in the archive"], None), ("Sorry for the mix-up, the answer is ~/a/b.md", Q, ["~/a/b.md"], None), ("The renderer cannot read the marks.", Q, ["~/a/b.md"], None),
         ("El generador de imágenes redondea la tabla de aciertos por tercera vez", Q, ["~/a/b.md"], "wrong_language"), ("X1", Q, ["~/a/b.md"], None), ("~/Work/a-b", Q, ["~/Work/a-b-c/d.md"], "truncated"),
