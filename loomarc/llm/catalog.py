@@ -7,6 +7,7 @@ QUERIES = {
     "p1_report": pairs.defect_report,
     "p3_found": splitting.found,
     "p3_pieces": splitting.pieces,
+    "p3_checks": splitting.piece_checks,
     "p3_frames": splitting.frames,
     "p4_found": secrets.found,
     "p4_redacted": secrets.redacted,

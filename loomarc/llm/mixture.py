@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomarc.llm.budget import newest
 from loomarc.llm.tokens import DEFAULT, TOKENIZERS, with_tokens
-from loomarc.runtime import materialize
+from loomarc.runtime import materialize, small_or_shuffled
 
 #: Hash buckets per source for the running sums.
 BUCKETS = 1024
@@ -66,8 +66,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     held = sized.select("*", bucket)
     sums = held.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    # One row per source and bucket: at most BUCKETS times the listed sources, so broadcast.
-    offsets = F.broadcast(sums.join(F.broadcast(plan), "source").select("source", "bucket", "weight", "max_repeats", "available", "total", F.coalesce(before, F.lit(0)).alias("offset")))
+    # One row per source and bucket: at most BUCKETS times the listed sources. It is written down, so its size is
+    # known, and broadcast only where that is small.
+    listed = sums.join(small_or_shuffled(plan), "source").select("source", "bucket", "weight", "max_repeats", "available", "total", F.coalesce(before, F.lit(0)).alias("offset"))
+    offsets = small_or_shuffled(materialize(listed, "mixture-offsets"))
     within = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     placed = held.withColumn("within", within).join(offsets, ["source", "bucket"])
     upto = F.col("offset") + F.col("within")

@@ -1,11 +1,12 @@
 """Splitting oversized texts at natural boundaries, with a shared stretch between pieces.
 
-The offsets of all boundaries of a text are prefix sums of the lengths of its tokens, kept
-in one sorted array per kind (turns, lines, sentences, words). A piece starting at ``s``
-ends at the last boundary at or under ``s + limit``, found by binary search in the best
-kind that leaves the piece at least half full, else in any kind, else by a hard cut
-between characters (grapheme clusters), else between code points. The next piece starts
-``overlap`` code points before that end, moved back to the start of a character.
+A text is cut into tokens (a word or a run of one script with the marks and blanks behind it,
+up to a line break); the prefix sums of their lengths are the offsets of all boundaries, in one
+sorted array per kind (turns, lines, sentences, words). A piece starting at ``s`` ends at the last
+boundary at or under ``s + limit``, found by binary search in the best kind that leaves the
+piece at least half full, else in any kind, else by a hard cut between characters (grapheme
+clusters), else between code points. The next piece starts ``overlap`` code points before
+that end, moved back to the start of a character.
 
 Lengths are Unicode code points, half-open offsets. Every code point is in a piece, pieces
 are never longer than the limit, and consecutive pieces share at least ``overlap`` code
@@ -22,17 +23,22 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomarc.runtime import small_or_shuffled
+
 KINDS = ("turn", "line", "sentence", "word")
-_TURN = re.compile(r"(?m)\n(?=(?:｜ T\d+ )?[A-Z]: |# \S[^\n]* ¶$)")
-_LINE = re.compile(r"\n")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)\s|[。！？｡]+[”’」』）]*")
-_WORD = re.compile(r"\s+|(?<=[，、；：])|(?<=[぀-ヿ㐀-鿿])(?=[^぀-ヿ㐀-鿿\s])")
+_TURN = re.compile(r"(?m)(?:｜ T\d+ )?[A-Z]: |# \S[^\n]* ¶$")
+_TOKEN = re.compile(
+    r"(?:[぀-ヿ㐀-鿿]+|[^\s぀-ヿ㐀-鿿，、；：。！？｡]+)(?:[，、；：]|[。！？｡]+[”’」』）]*)?[^\S\n]*\n?"
+    r"|[，、；：]|[。！？｡]+[”’」』）]*|[^\S\n]+\n?|\n"
+)
+_STOP = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*\s|[。！？｡]+[”’」』）]*)\s*$")
 # Any character outside the ranges in which every code point is a character of its own.
 _COMPLEX = re.compile("[^\\x00-\\x0c\\x0e-\\x7e\\xa0-\\xac\\xae-\\u02ff\\u0370-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u3000-\\u3029\\u3031-\\u303c\\u3041-\\u3096\\u309d-\\u30ff\\u3400-\\u9fff\\uff01-\\uff9d]")
 _CLUSTER = regex.compile(r"\X")
@@ -46,14 +52,15 @@ class Boundaries:
         self.clusters: list[int] | None = None
         if _COMPLEX.search(text):
             self.clusters = [m.start() for m in _CLUSTER.finditer(text)] + [self.size]
-        self.kinds = [self._ends(p, text) for p in (_TURN, _LINE, _SENTENCE, _WORD)]
-
-    def _ends(self, pattern: re.Pattern, text: str) -> list[int]:
-        ends = [m.end() for m in pattern.finditer(text)]
-        if self.clusters is not None and ends:
+        tokens = _TOKEN.findall(text)
+        words = list(accumulate(map(len, tokens)))
+        lines = [end for token, end in zip(tokens, words) if token[-1] == "\n"]
+        stops = [end for token, end in zip(tokens, words) if _STOP.search(token)]
+        turns = [end for end in lines if _TURN.match(text, end)]
+        self.kinds = [turns, lines, stops, words]
+        if self.clusters is not None:
             known = set(self.clusters)
-            ends = [e for e in ends if e in known]
-        return ends
+            self.kinds = [[end for end in ends if end in known] for ends in self.kinds]
 
     def cut(self, start: int, limit: int, least: int) -> tuple[int, str]:
         """(end, kind) of the piece that starts at ``start``; the end is beyond ``least``."""
@@ -171,8 +178,33 @@ def _split(spark, sf_dir, with_text=True):
 
 
 def found(spark, sf_dir):
-    whole = _split(spark, sf_dir, with_text=False)
-    return whole.where(F.col("oversized") & (F.col("piece_no") == 0)).select(F.col("id").alias("manifest_id")).distinct()
+    """Manifests whose text took more than one piece, or has no limit it could keep to."""
+    parts = _split(spark, sf_dir, with_text=False)
+    cut = (F.col("piece_no") == 1) | F.col("oversized") & (F.col("cut") == "whole")
+    return parts.where(cut).select(F.col("id").alias("manifest_id")).distinct()
+
+
+def piece_checks(spark, sf_dir):
+    """What the pieces of each text give back: its digest and size, and how many pieces break a rule.
+
+    ``over``: pieces beyond the limit; ``gaps``: pieces that do not begin at or before the end of the one
+    before; ``thin``: pieces that share less with the one before than asked for, although characters are single code points.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/archive_manifests.parquet").select("manifest_id", "max_chars", "overlap_chars", F.length(F.regexp_replace("carrier_text", r"\P{ASCII}", "")).alias("ascii"))
+    parts = _split(spark, sf_dir).withColumn("end", F.col("start") + F.length("text")).withColumn("fresh", F.expr("substring(text, shared + 1)"))
+    whole = parts.groupBy(F.col("id").alias("manifest_id")).agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "fresh"))), lambda p: p["fresh"]), "")).alias("digest"),
+        F.max("end").cast("bigint").alias("chars"), F.max(F.length("text")).alias("longest"), F.count(F.lit(1)).alias("pieces"),
+        F.max(F.when(F.col("piece_no") == 0, F.col("start")).otherwise(0)).alias("first"), F.min(F.when(F.col("piece_no") > 0, F.col("shared"))).alias("least"),
+    )
+    asked = F.when(F.col("overlap_chars") >= F.col("max_chars"), F.floor(F.col("max_chars") / 2)).otherwise(F.greatest(F.coalesce("overlap_chars", F.lit(0)), F.lit(0)))
+    return whole.join(small_or_shuffled(rows), "manifest_id").select(
+        "manifest_id", "digest", "chars",
+        F.coalesce((F.col("longest") > F.col("max_chars")) & (F.col("max_chars") > 0), F.lit(False)).alias("over"),
+        (F.col("first") > 0).alias("gaps"),
+        F.coalesce((F.col("least") < asked) & (F.col("ascii") == F.col("chars")), F.lit(False)).alias("thin"),
+        F.coalesce((F.col("pieces") > 1) == ((F.col("chars") > F.col("max_chars")) & (F.col("max_chars") > 0)), F.col("pieces") == 1).alias("as_many"),
+    )
 
 
 def pieces(spark, sf_dir):
@@ -183,4 +215,8 @@ def frames(spark, sf_dir):
     return split_frames(spark.read.parquet(f"{sf_dir}/archive_manifests.parquet"))
 
 
-ORACLE = {"p3_found": "SELECT DISTINCT manifest_id FROM archive_manifests WHERE length(carrier_text) > greatest(max_chars, 0)"}
+ORACLE = {
+    "p3_found": "SELECT DISTINCT manifest_id FROM archive_manifests WHERE length(carrier_text) > greatest(max_chars, 0)",
+    "p3_checks": """SELECT manifest_id, md5(carrier_text) AS digest, length(carrier_text) AS chars, false AS over, false AS gaps, false AS thin, true AS as_many
+FROM archive_manifests WHERE carrier_text IS NOT NULL""",
+}

@@ -84,13 +84,15 @@ class Unigram:
 
     #: How far below the lowest score an unknown character is scored.
     UNKNOWN_PENALTY = 10.0
+    #: Characters of the longest segment that is remembered.
+    LONGEST = 64
 
-    def __init__(self, pieces: list[tuple[str, float]], segments: Callable[[str], list[str]] | None = None, memory: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], segments: Callable[[str], list[str]] | None = None, memory: int = 4_000_000):
         self.scores = [score for _, score in pieces]
         self.trie = DoubleArrayTrie([piece.encode() for piece, _ in pieces])
         self.unknown = min(self.scores, default=0.0) - self.UNKNOWN_PENALTY
         self.segments = segments or (lambda text: [text])
-        self.memory, self._known = memory, {}
+        self.memory, self._known, self._held = memory, {}, 0  # characters of remembered segments
 
     def count(self, segment: str) -> int:
         """Tokens of the best segmentation; neighbouring unknown characters are one token."""
@@ -123,9 +125,13 @@ class Unigram:
             for segment in self.segments(text) if text else ():
                 size = known.get(segment)
                 if size is None:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    size = known[segment] = self.count(segment)
+                    size = self.count(segment)
+                    if len(segment) <= self.LONGEST:
+                        if self._held + len(segment) > self.memory:
+                            known.clear()
+                            self._held = 0
+                        known[segment] = size
+                        self._held += len(segment)
                 total += size
             out.append(total)
         return out

@@ -21,6 +21,12 @@ def test_nothing_is_lost(text, limit, overlap):
     assert (len(pieces) > 1) == (len(text) > limit)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab c.\n。，”é👩‍💻กำU:　\x1c", max_size=80))
+def test_tokens_are_the_text(text):
+    assert "".join(S._TOKEN.findall(text)) == text
+
+
 def test_boundaries():
     assert S.split_text("U: a b\n\nA: c d\n\nU: e", 12, 0)[0] == (0, 8, "turn")
     assert S.split_text("aaaa bbbb. cccc dddd", 13, 0)[0] == (0, 11, "sentence")

@@ -86,6 +86,9 @@ def test_unigram_counts():
         assert own.count(text) == len(library.encode(text).ids)
     import json
 
+    for text in ("abc" * 40, "x" * 500, "abc" * 40):  # long segments are counted and not remembered
+        assert own.counts([text, text]) == [len(library.encode(text).ids)] * 2
+    assert sum(map(len, own._known)) == own._held == 0
     assert U.from_tokenizer_json(json.loads(library.to_str())).counts(["abc", "", None])[1:] == [0, 0]
 
 
@@ -135,6 +138,9 @@ def test_mixture(spark):
     assert [f for *_, f in got] == sorted(f for *_, f in got) and len(got) == len({(i, k) for i, k, _ in got})
     shares = {r.source: r for r in M.shares(sized, targets, mixed).collect()}
     assert abs(shares["small"].actual_share - 0.625) < 0.02 and shares["missing"].uses == 0 and shares["small"].passes <= 3
+    for source, weight in (("big", 0.375), ("small", 0.625)):  # no source is further from its share than one document
+        longest = max(n for _, s, n, _ in held if s == source)
+        assert 0 <= weight * total - shares[source].tokens <= longest
     assert M.mixture(docs, targets, total=0, sized=sized).count() == 0
     empty = M.sized_documents(docs.limit(0))
     assert M.mixture(docs, targets, sized=empty).count() == 0 and M.shares(empty, targets, M.mixture(docs, targets, sized=empty)).count() == 3
