@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomarc.functions import text as T
 from loomarc.operators.windows import first_per_group, top_per_group
+from loomarc.runtime import small_or_shuffled
 
 # Tasks in import order, and those scored exactly.
 TASKS = ("multifieldqa_zh", "dureader", "passage_retrieval_zh", "multifieldqa_en", "hotpotqa", "lcc", "repobench-p")
@@ -104,3 +105,16 @@ def image_prompt(asked: Column) -> Column:
 def run_id(*parts: Column) -> Column:
     """Parts of a run's name, as slugs that keep dots, joined by two underscores."""
     return F.concat_ws("__", *[T.slug(p, keep_dots=True) for p in parts])
+
+
+def items_with_carrier(items: DataFrame, carriers: DataFrame, key: str, image: bool = False) -> DataFrame:
+    """Every question with the one carrier of its key and the prompt that asks it: ``qa_id, carrier_id, prompt``.
+
+    Of several carriers of a key the first by id counts, so an item has one row at most. In image mode the prompt
+    holds no text of the carrier, and none is read or moved. Items without a carrier have no row.
+    """
+    text = F.lit("") if image else F.coalesce(F.col("text"), F.lit(""))
+    one = carriers.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("carrier_id").alias("carrier_id"), *([] if image else [F.min_by(text, "carrier_id").alias("text")]))
+    asked = F.coalesce("question", F.lit(""))
+    joined = items.select("qa_id", "question", key).join(small_or_shuffled(one), key)
+    return joined.select("qa_id", "carrier_id", (image_prompt(asked) if image else text_prompt(F.col("text"), asked)).alias("prompt"))

@@ -46,6 +46,43 @@ class Variant:
         return math.ceil(self.ascent - self.descent) + self.line_spacing
 
 
+#: Known presets by id.
+PRESETS = {
+    # The presets of the benchmark.
+    "zpix24-binary-2000": Variant(frame_size=2000, content_width=2000, content_height=2000, font_size=24.0, threshold=0.49, line_spacing=2.0, margin=8.0),
+    "zpix18-half-049-2000": Variant(frame_size=2000, content_width=2000, content_height=2000, font_size=18.0, threshold=0.49, line_spacing=2.0, margin=8.0),
+}
+
+
+def preset(mode: str, preset_id: str | None = None) -> Variant | None:
+    """The variant of a run: by id in image mode (the first by default), none in text mode.
+
+    An unknown mode, and in image mode an unknown id, is an error that names the known ones.
+    """
+    if mode not in ("text", "image"):
+        raise ValueError(f"mode {mode!r} is neither text nor image")
+    if mode == "text":
+        return None
+    chosen = preset_id if preset_id is not None else next(iter(PRESETS))
+    if chosen not in PRESETS:
+        raise ValueError(f"unknown preset {chosen}; known presets: {', '.join(PRESETS)}")
+    return PRESETS[chosen]
+
+
+def with_presets(runs: DataFrame, mode: str = "mode", preset_id: str = "preset") -> DataFrame:
+    """Runs with ``font_size, threshold, line_spacing, frame_size, margin`` of their preset (null in text mode).
+
+    A row of an image run with an unknown preset ends the query.
+    """
+    known = [(k, v.font_size, v.threshold, v.line_spacing, v.frame_size, v.margin) for k, v in PRESETS.items()]
+    table = runs.sparkSession.createDataFrame(known, "_id string, font_size double, threshold double, line_spacing double, frame_size int, margin double")
+    image = F.col(mode) == "image"
+    joined = runs.join(F.broadcast(table), image & (F.col(preset_id) == F.col("_id")), "left")  # a row per preset
+    failed = F.raise_error(F.concat(F.lit("unknown preset "), F.coalesce(F.col(preset_id), F.lit("null")), F.lit("; known presets: " + ", ".join(PRESETS))))
+    checked = F.when(image & F.col("_id").isNull(), failed.cast("double")).otherwise(F.col("font_size"))
+    return joined.withColumn("font_size", checked).drop("_id")
+
+
 def pack(text: str, v: Variant) -> list[int]:
     """Characters of each frame."""
     right = min(v.margin + v.content_width, v.frame_size - v.margin)
@@ -146,6 +183,19 @@ def near_threshold(buckets: DataFrame, threshold: float, reach: float = 0.03) ->
     return buckets.where(distance <= F.lit(reach).cast("float")).orderBy("bucket")
 
 
+def shown_buckets(buckets: DataFrame, threshold: float, reach: float = 0.03, n: int = 8) -> DataFrame:
+    """The buckets near the threshold; where there are none, the ``n`` fullest inner ones."""
+    near, full = near_threshold(buckets, threshold, reach), top_edges(buckets, n)
+    none = near.agg((F.count(F.lit(1)) == 0).alias("_none"))  # buckets are at most 1000 rows
+    return near.unionByName(full.crossJoin(F.broadcast(none)).where("_none").drop("_none"))
+
+
+def axis(value: Column, low: float, high: float, start: float, length: float, upwards: bool = False) -> Column:
+    """Where a value lies on an axis of ``length`` from ``start``; ``upwards`` counts from its far end."""
+    share = (value.cast("double") - low) / (high - low)
+    return F.lit(float(start)) + (1 - share if upwards else share) * float(length)
+
+
 def threshold_neighbours(buckets: DataFrame, threshold: float) -> DataFrame:
     """The next bucket above and the last at or below a threshold, and the largest share (1e-6 at least)."""
     limit = F.lit(threshold).cast("float")

@@ -12,6 +12,7 @@ nothing further and should be resolved before (``latest_lines``).
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -131,19 +132,19 @@ def plain_inline(text: str) -> str:
     return "".join(out)
 
 
+# The rule of ``functions.text.strip_markdown_prefix`` for texts in Python: heading marks, then one
+# quote mark, then one list mark, or a number where the rest is longer than two bytes.
+_HEADINGS_AND_QUOTE = re.compile(r"(?:#\s*)*(?:>\s*)?")
+_LIST_MARK = re.compile(r"[-*+] \s*")
+_NUMBER_MARK = re.compile(r"[0-9]+\.\s*")
+
+
 def plain_prefix(line: str) -> str:
     """The string form of ``functions.text.strip_markdown_prefix``."""
-    text = line.lstrip()
-    while text.startswith("#"):
-        text = text[1:].lstrip()
-    if text.startswith(">"):
-        text = text[1:].lstrip()
-    if text[:2] in ("- ", "* ", "+ "):
-        return text[2:].lstrip()
-    head, dot, tail = text.partition(".")
-    if dot and len(text.encode()) > 2 and head.isascii() and head.isdigit():
-        return tail.lstrip()
-    return text
+    bare = line.lstrip()
+    bare = bare[_HEADINGS_AND_QUOTE.match(bare).end() :]
+    mark = _LIST_MARK.match(bare) or (_NUMBER_MARK.match(bare) if len(bare.encode()) > 2 else None)
+    return bare[mark.end() :] if mark else bare
 
 
 def dialogue_text(text: str) -> str:

@@ -6,7 +6,7 @@ exact_match, f1, match_kind, frames, chars_per_frame``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomarc.functions import text as T
@@ -49,10 +49,9 @@ def with_eligibility(cases: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def low_cases(cases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Cases of the baseline run that are not eligible (anti join)."""
-    marked = with_eligibility(cases, threshold).where(F.col("mode") == "text")
-    eligible = marked.where("baseline_eligible").select("id").distinct()
-    return marked.join(eligible, "id", "left_anti").select("id", "task", "f1", "match_kind").distinct()
+    """Cases of text runs whose baseline result is not eligible, once each."""
+    marked = with_eligibility(cases, threshold).where((F.col("mode") == "text") & ~F.col("baseline_eligible"))
+    return marked.select("id", "task", "f1", "match_kind").distinct()
 
 
 def _count_of(correct: Column, of: Column) -> Column:
@@ -93,10 +92,19 @@ def leaderboard(summaries: DataFrame) -> DataFrame:
     return summaries.orderBy(F.desc("eligible_avg_f1"), F.desc("avg_f1"), F.desc("correct"), "run")
 
 
+def report_order(summaries: DataFrame) -> DataFrame:
+    """The order of a report: eligible F1, then mean F1 (best first); equal runs by name."""
+    return summaries.orderBy(F.desc("eligible_avg_f1"), F.desc("avg_f1"), "run")
+
+
 def retention(summaries: DataFrame) -> DataFrame:
-    """Eligible F1 of image runs against the first text run (null without one, or at 0)."""
-    text = summaries.where(F.col("mode") == "text").agg(F.min_by("eligible_avg_f1", "run").alias("_text"))
-    image = summaries.where(F.col("mode") == "image").crossJoin(F.broadcast(text))
+    """Eligible F1 of image runs against the first text run (null without one, or at 0).
+
+    One pass over the summaries: the text run is found by a window over them, a row per run.
+    """
+    everything = Window.partitionBy()
+    text = F.min_by("eligible_avg_f1", F.when(F.col("mode") == "text", F.col("run"))).over(everything)
+    image = summaries.withColumn("_text", F.when(F.max(F.col("mode") == "text").over(everything), text)).where(F.col("mode") == "image")
     return image.select("run", "eligible_avg_f1", F.try_divide("eligible_avg_f1", "_text").alias("retention"), "avg_f1", "total_frames", "avg_chars_per_frame")
 
 

@@ -14,31 +14,31 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: Column, into: str, block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
+def running_sum(df: DataFrame, key: str, order: str, value: Column, into: str, block: int = BLOCK, ties: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """Adds the sum of ``value`` over the rows of the key before a row (the row excluded).
 
-    ``order`` is a whole number; rows of equal order are ordered by ``ties``.
+    ``order`` is a whole number; rows of equal order are ordered by ``ties``. ``total`` names a
+    further column for the sum over the whole key, made of the sums of blocks already there.
     """
     marked = df.withColumn("_b", F.floor(F.col(order) / block)).withColumn("_v", value.cast("bigint"))
     sums = marked.groupBy(key, "_b").agg(F.sum("_v").alias("_n"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    whole = [F.sum("_n").over(Window.partitionBy(key)).alias(total)] if total else []
+    offsets = sums.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), *whole)
     inside = Window.partitionBy(key, "_b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     placed = marked.withColumn("_w", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return placed.join(offsets, [key, "_b"]).withColumn(into, F.col("_w") + F.col("_offset")).drop("_b", "_v", "_w", "_offset")
 
 
-def marker_windows(df: DataFrame, key: str, order: str, is_marker: Column, ties: tuple[str, ...] = (), keep_open: bool = False) -> DataFrame:
+def marker_windows(df: DataFrame, key: str, order: str, is_marker: Column, ties: tuple[str, ...] = (), keep_open: bool = False, block: int = BLOCK) -> DataFrame:
     """Rows with ``window_no``: window n holds the rows after marker n-1 and before marker n.
 
     Markers themselves are dropped; so are rows after the last marker, which belong to no
     window that can be exported, unless ``keep_open``.
     """
-    numbered = running_sum(df.withColumn("_m", is_marker), key, order, F.col("_m").cast("int"), "window_no", ties=ties)
-    if not keep_open:
-        closed = numbered.where("_m").groupBy(key).agg(F.count(F.lit(1)).alias("_windows"))
-        numbered = numbered.join(closed, key).where(F.col("window_no") < F.col("_windows")).drop("_windows")
-    return numbered.where(~F.col("_m")).drop("_m")
+    numbered = running_sum(df.withColumn("_m", is_marker), key, order, F.col("_m").cast("int"), "window_no", block, ties, "_windows")
+    kept = ~F.col("_m") if keep_open else ~F.col("_m") & (F.col("window_no") < F.col("_windows"))
+    return numbered.where(kept).drop("_m", "_windows")
 
 
 def running_turns(df: DataFrame, key: str, order: str, body: Column, into: str = "turn_no") -> DataFrame:

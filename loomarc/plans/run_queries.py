@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomarc.functions import text as T
@@ -101,18 +102,34 @@ def ocr_metrics(spark, sf_dir):
     return scored.select("answer_id", F.col("strict.edit_distance").alias("edits"), F.col("strict.cer").alias("cer"), F.col("normalized.char_recall").alias("recall"), F.col("normalized.char_precision").alias("precision"))
 
 
+def _ends(column: str) -> str:
+    return S.trim(f"replace(coalesce({column}, ''), chr(13)||chr(10), chr(10))")
+
+
+@query(
+    f"""WITH p AS (SELECT answer_id, {_ends('best_gold')} AS a, {_ends('answer')} AS b FROM recall_answers),
+ l AS (SELECT *, list_transform(range(1, length(a) + 1), lambda i: substr(a, i, 1)) AS x, list_transform(range(1, length(b) + 1), lambda i: substr(b, i, 1)) AS y FROM p),
+ c AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN length(a) ELSE {S.lcs('x', 'y')} END AS common FROM l)
+SELECT answer_id, length(a) AS source_chars, length(b) AS output_chars, common AS lcs_chars, CASE WHEN a = '' THEN 0.0 ELSE common::DOUBLE / length(a) END AS recall, CASE WHEN b = '' THEN 0.0 ELSE common::DOUBLE / length(b) END AS precision FROM c"""
+)
+def ocr_overlap(spark, sf_dir):
+    """The character metrics of ``ocr_metrics`` that do not need an edit distance."""
+    scored = SC.ocr_scores(table(spark, sf_dir, "recall_answers").select("answer_id", "best_gold", "answer"), "best_gold", "answer")
+    strict = [F.col(f"strict.{c}") for c in ("source_chars", "output_chars", "lcs_chars")]
+    return scored.select("answer_id", *strict, F.col("strict.char_recall").alias("recall"), F.col("strict.char_precision").alias("precision"))
+
+
 # --- runs ----------------------------------------------------------------------------
 
 
 def _cases(spark, sf_dir):
     """Runs are variants; a case's result is its first answer. Scored once, as the summaries read it several times."""
-    scored = _scored(spark, sf_dir)
-    results = scored.select(F.col("variant").alias("run"), F.col("qa_id").alias("id"), F.struct("answered_at", "answer_id").alias("position"), "correct", "exact_match", "f1", "match_kind", "score")
-    kept = materialize(results, "scored-answers")
+    results = _scored(spark, sf_dir).select(F.col("variant").alias("run"), F.col("qa_id").alias("id"), F.struct("answered_at", "answer_id").alias("position"), "correct", "exact_match", "f1", "match_kind", "score")
+    asked = table(spark, sf_dir, "recall_answers").select(F.col("variant").alias("run"), F.col("qa_id").alias("id")).distinct()
     mode = F.when(F.col("run").startswith("text"), "text").otherwise("image")
-    known = kept.select("run", "id").distinct().withColumns({"mode": mode, "task": F.substring_index("id", "-", 1)})
+    known = asked.withColumns({"mode": mode, "task": F.substring_index("id", "-", 1)})
     frames = F.when(F.col("mode") == "text", 0).otherwise(F.length("id") % 5 + 1).cast("bigint")
-    rows = SU.case_rows(known, kept)
+    rows = SU.case_rows(known, results)
     return materialize(rows.withColumns({"frames": frames, "chars_per_frame": F.when(F.col("mode") == "text", 0.0).otherwise(F.length("id") * 10.0)}), "cases")
 
 
@@ -147,6 +164,13 @@ def leaderboard(spark, sf_dir):
     return SU.leaderboard(_summaries(spark, sf_dir))
 
 
+@query(_CASES + "SELECT run, eligible_avg_f1, avg_f1, row_number() OVER (ORDER BY eligible_avg_f1 DESC, avg_f1 DESC, run) AS place FROM sums")
+def report_order(spark, sf_dir):
+    """Runs in the order of a report, with their places (a row per run)."""
+    place = F.row_number().over(Window.orderBy(F.desc("eligible_avg_f1"), F.desc("avg_f1"), "run"))
+    return SU.report_order(_summaries(spark, sf_dir)).select("run", "eligible_avg_f1", "avg_f1", place.cast("bigint").alias("place"))
+
+
 @query(_CASES + "SELECT id, task, f1, match_kind FROM marked WHERE run = (SELECT run FROM base) AND NOT eligible")
 def low_cases(spark, sf_dir):
     return SU.low_cases(_cases(spark, sf_dir))
@@ -195,9 +219,7 @@ SELECT event_id, user_id, window_no FROM n WHERE event_type <> 'error' AND windo
 def marker_windows(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     # Blocks of a day: the order column is in microseconds.
-    marked = W.running_sum(events.withColumn("_m", F.col("event_type") == "error"), "user_id", "at", F.col("_m").cast("int"), "window_no", DAY, ("event_id",))
-    totals = marked.where("_m").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    return marked.where(~F.col("_m")).join(totals, "user_id").where(F.col("window_no") < F.col("total")).select("event_id", "user_id", "window_no")
+    return W.marker_windows(events, "user_id", "at", F.col("event_type") == "error", ("event_id",), block=DAY).select("event_id", "user_id", "window_no")
 
 
 _LATEST = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY session_id, line_no ORDER BY ingested_at DESC NULLS LAST, row_id DESC) AS rn FROM session_events
@@ -242,6 +264,32 @@ def session_carriers(spark, sf_dir):
     return _carriers(spark, sf_dir).select("session_id", "window_no", "turns", "serialized", "eventized", "structured", "serialized_chars", "eventized_chars", "structured_chars")
 
 
+@query(_LATEST + """SELECT session_id, window_no, true AS framed, true AS numbered, true AS separated, true AS trimmed, true AS redacted, true AS measured
+FROM w WHERE NOT m AND window_no < total GROUP BY session_id, window_no""")
+def carrier_checks(spark, sf_dir):
+    """What has to hold of the carriers of every window, whatever its texts."""
+    texts, turns = _carriers(spark, sf_dir), F.col("turns")
+    ends = F.lit(r"(?mU)[^\S\n]+$")
+    every = lambda rule: rule("serialized") & rule("eventized") & rule("structured")
+    return texts.select(
+        "session_id", "window_no",
+        F.when(turns == 0, F.col("structured") == "").otherwise(F.startswith("structured", F.lit(SE.STREAM_HEADER))).alias("framed"),
+        (F.regexp_count("structured", F.lit(r"(?m)^｜ T[0-9]{3,} [UA]: ")) == turns).alias("numbered"),
+        (F.when(turns == 0, F.lit(0)).otherwise(F.size(F.split("eventized", "\n\n", -1))) == turns).alias("separated"),
+        every(lambda c: (F.regexp_count(c, ends) == 0) & (T.trim_unicode(F.col(c)) == F.col(c))).alias("trimmed"),
+        every(lambda c: F.regexp_count(c, F.lit("sk-[A-Za-z0-9_-]{8,}|(?:API_KEY|TOKEN)=(?!<redacted>)\\S")) == 0).alias("redacted"),
+        every(lambda c: F.length(c) == F.col(f"{c}_chars")).alias("measured"),
+    )
+
+
+@query(_LATEST + """, c AS (SELECT session_id, line_no AS end_line, tokens_before, event_ts, window_no FROM w WHERE m),
+ s AS (SELECT session_id, window_no, min(line_no) AS start_line, count(*) AS event_count, count(*) FILTER (event_type = 'message' AND message IS NOT NULL) AS message_count, coalesce(sum(octet_length(encode(message))),0)::BIGINT AS bytes FROM w WHERE NOT m GROUP BY ALL)
+SELECT session_id, window_no, end_line, tokens_before, event_ts, coalesce(start_line, end_line) AS start_line, coalesce(event_count, 0) AS event_count, coalesce(message_count, 0) AS message_count, coalesce(bytes, 0) AS source_json_bytes FROM c LEFT JOIN s USING (session_id, window_no)""")
+def window_closings(spark, sf_dir):
+    """The metadata of windows without what depends on their texts."""
+    return window_metadata(spark, sf_dir).select("session_id", "window_no", "end_line", "tokens_before", "event_ts", "start_line", "event_count", "message_count", "source_json_bytes")
+
+
 @query()
 def window_metadata(spark, sf_dir):
     events = SE.latest_lines(table(spark, sf_dir, "session_events"))
@@ -372,6 +420,28 @@ def near_threshold(spark, sf_dir):
     return LO.near_threshold(_histogram(spark, sf_dir), 0.05)
 
 
+@query(_BUCKETS + "SELECT * FROM h WHERE abs(coverage - 0.5::FLOAT)::FLOAT <= 0.03::FLOAT UNION ALL SELECT * FROM (SELECT * FROM h WHERE coverage >= 0.01::FLOAT AND coverage < 0.999::FLOAT ORDER BY count DESC, bucket LIMIT 8) WHERE NOT EXISTS (SELECT 1 FROM h WHERE abs(coverage - 0.5::FLOAT)::FLOAT <= 0.03::FLOAT)")
+def shown_buckets(spark, sf_dir):
+    """Nothing lies near this threshold, so the eight fullest buckets are shown."""
+    return LO.shown_buckets(_histogram(spark, sf_dir), 0.5)
+
+
+@query("SELECT manifest_id, 140 + (font_size::DOUBLE - 6) / 30 * 1320 AS x, 235 + (1 - (threshold::DOUBLE - 0) / 1) * 475 AS y FROM archive_manifests")
+def chart_points(spark, sf_dir):
+    return table(spark, sf_dir, "archive_manifests").select("manifest_id", LO.axis(F.col("font_size"), 6, 36, 140, 1320).alias("x"), LO.axis(F.col("threshold"), 0, 1, 235, 475, True).alias("y"))
+
+
+@query("""WITH p(id, fs, th, fr) AS (VALUES ('zpix24-binary-2000', 24.0::DOUBLE, 0.49::DOUBLE, 2000), ('zpix18-half-049-2000', 18.0::DOUBLE, 0.49::DOUBLE, 2000)),
+ r AS (SELECT DISTINCT variant AS run, CASE WHEN starts_with(variant, 'text') THEN 'text' ELSE 'image' END AS mode, CASE WHEN contains(variant, '24') THEN 'zpix24-binary-2000' ELSE 'zpix18-half-049-2000' END AS preset FROM recall_answers)
+SELECT run, mode, preset, fs AS font_size, th AS threshold, fr AS frame_size FROM r LEFT JOIN p ON mode = 'image' AND preset = id""")
+def run_presets(spark, sf_dir):
+    """Presets of the runs, looked up by id (which one is chosen by the run's name here)."""
+    runs = table(spark, sf_dir, "recall_answers").select(F.col("variant").alias("run")).distinct()
+    mode = F.when(F.col("run").startswith("text"), "text").otherwise("image")
+    named = runs.select("run", mode.alias("mode"), F.when(F.contains("run", F.lit("24")), "zpix24-binary-2000").otherwise("zpix18-half-049-2000").alias("preset"))
+    return LO.with_presets(named).select("run", "mode", "preset", "font_size", "threshold", "frame_size")
+
+
 @query(_BUCKETS + "SELECT min(bucket) FILTER (coverage > 0.05::FLOAT) AS next_above, max(bucket) FILTER (coverage <= 0.05::FLOAT) AS last_below, greatest(max(share), 1e-6) AS max_share FROM h")
 def threshold_neighbours(spark, sf_dir):
     return LO.threshold_neighbours(_histogram(spark, sf_dir), 0.05)
@@ -392,3 +462,25 @@ def grid_capacity(spark, sf_dir):
 def frame_layout(spark, sf_dir):
     """Frames of every carrier under the default variant (data-dependent packing)."""
     return LO.frames(table(spark, sf_dir, "archive_manifests"), "manifest_id", "carrier_text", LO.Variant())
+
+
+@query("SELECT manifest_id, length(carrier_text) AS compact_chars, length(carrier_text) AS in_frames, true AS counted, true AS named, CASE WHEN length(carrier_text) > 0 THEN true ELSE false END AS filled FROM archive_manifests WHERE carrier_text IS NOT NULL")
+def frame_checks(spark, sf_dir):
+    """What has to hold of the frames of every carrier: all characters, in order, none in an empty frame."""
+    laid = frame_layout(spark, sf_dir).where(F.col("compact_chars").isNotNull())
+    frames = F.col("frames")
+    total = F.aggregate(frames, F.lit(0).cast("bigint"), lambda n, f: n + f["chars"])
+    names = F.transform(frames, lambda f, i: f["path"] == F.concat(F.lit("frame-"), T.zero_pad(i, 4), F.lit(".png")))
+    return laid.select(
+        "manifest_id", "compact_chars", total.alias("in_frames"), (F.size(frames) == F.col("frame_count")).alias("counted"),
+        F.forall(names, lambda n: n).alias("named"), F.forall(frames, lambda f: f["chars"] > 0).alias("filled"),
+    )
+
+
+@query("""SELECT q.qa_id, m.manifest_id AS carrier_id, md5('Answer the question using only the image. Reply with the shortest exact answer span. Do not explain.' || chr(10) || chr(10) || 'Question: ' || coalesce(q.question, '')) AS prompt
+FROM recall_qa q JOIN (SELECT session_id, min(manifest_id) AS manifest_id FROM archive_manifests GROUP BY session_id) m USING (session_id)""")
+def questions_with_carrier(spark, sf_dir):
+    """Every question with the one carrier of its session, as an exam over images asks it."""
+    carriers = table(spark, sf_dir, "archive_manifests").select("session_id", F.col("manifest_id").alias("carrier_id"), F.col("carrier_text").alias("text"))
+    asked = D.items_with_carrier(table(spark, sf_dir, "recall_qa"), carriers, "session_id", image=True)
+    return asked.select("qa_id", "carrier_id", F.md5("prompt").alias("prompt"))

@@ -90,14 +90,13 @@ _BARE = S.replace(S.replace(S.replace("x", f"^{S.WS}+"), f"^(?:#{S.WS}*)+"), f"^
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, unnest({S.lines('text')}) AS x FROM documents), b AS (SELECT doc_id, {_BARE} AS b FROM l)
-SELECT doc_id, md5(string_agg(f, chr(10) ORDER BY f)) AS digest FROM (SELECT doc_id,
- CASE WHEN regexp_matches(b,'^[-*+] ') THEN {S.replace('b', f'^[-*+] {S.WS}*')} WHEN octet_length(encode(b)) > 2 THEN {S.replace('b', f'^[0-9]+[.]{S.WS}*')} ELSE b END AS f FROM b) GROUP BY doc_id"""
+    f"""WITH l AS (SELECT doc_id, unnest({S.lines('text')}) AS x, generate_subscripts({S.lines('text')}, 1) AS line_no FROM documents), b AS (SELECT doc_id, line_no, {_BARE} AS b FROM l)
+SELECT doc_id, line_no, f AS form FROM (SELECT doc_id, line_no,
+ CASE WHEN regexp_matches(b,'^[-*+] ') THEN {S.replace('b', f'^[-*+] {S.WS}*')} WHEN octet_length(encode(b)) > 2 THEN {S.replace('b', f'^[0-9]+[.]{S.WS}*')} ELSE b END AS f FROM b)"""
 )
 def markdown_prefix(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("x"))
-    forms = lines.select("doc_id", T.strip_markdown_prefix(F.col("x")).alias("f"))
-    return forms.groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("f")), "\n")).alias("digest"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "x"))
+    return lines.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), T.strip_markdown_prefix(F.col("x")).alias("form"))
 
 
 @query(f"SELECT answer_id, translate({S.trim('replace(answer, chr(13)||chr(10), chr(10))')}, '（），。：“”【】'||chr(10)||chr(9)||' ', '(),.:\"\"[]') AS form FROM recall_answers")
@@ -124,10 +123,9 @@ def _sql_lines(rule: str) -> str:
 _ASSIGN = "CASE WHEN instr(x,'TOKEN') > 0 AND substr(x, instr(x,'TOKEN')+5, 1) = '=' THEN substr(x,1,instr(x,'TOKEN')+5) || '<redacted>' || regexp_replace(substr(x,instr(x,'TOKEN')+6), " + S.q("^[^" + S.WS[1:-1] + "]*") + ", '') ELSE x END"
 
 
-@query(f"SELECT output_id, {_sql_lines(_ASSIGN)} AS form FROM tool_outputs WHERE content IS NOT NULL")
+@query(f"SELECT output_id, {_sql_lines(_ASSIGN)} AS form FROM tool_outputs")
 def redact_assignment(spark, sf_dir):
-    rows = table(spark, sf_dir, "tool_outputs").where(F.col("content").isNotNull())
-    return rows.select("output_id", R.assignment(F.col("content"), "TOKEN").alias("form"))
+    return table(spark, sf_dir, "tool_outputs").select("output_id", R.assignment(F.col("content"), "TOKEN").alias("form"))
 
 
 _AFTER = "substr(x, instr(x,'KEY')+3)"
@@ -136,10 +134,9 @@ _HIT = f"instr(x,'KEY') > 0 AND instr({_AFTER},':') > 0 AND regexp_matches({_RES
 _COLON = f"CASE WHEN {_HIT} THEN substr(x, 1, length(x) - length({_REST})) || regexp_replace({_REST}, '^([ \\t]*)(?:(\")[^\"]*\"|('')[^'']*'')', '\\1\\2\\3<redacted>\\2\\3') ELSE x END"
 
 
-@query(f"SELECT output_id, {_sql_lines(_COLON)} AS form FROM tool_outputs WHERE content IS NOT NULL")
+@query(f"SELECT output_id, {_sql_lines(_COLON)} AS form FROM tool_outputs")
 def redact_colon(spark, sf_dir):
-    rows = table(spark, sf_dir, "tool_outputs").where(F.col("content").isNotNull())
-    return rows.select("output_id", R.colon_value(F.col("content"), "KEY").alias("form"))
+    return table(spark, sf_dir, "tool_outputs").select("output_id", R.colon_value(F.col("content"), "KEY").alias("form"))
 
 
 @query("SELECT output_id, regexp_replace(content, 'sk-[A-Za-z0-9_-]{8,}', 'sk-<redacted>', 'g') AS form FROM tool_outputs")
@@ -147,13 +144,41 @@ def redact_sk(spark, sf_dir):
     return table(spark, sf_dir, "tool_outputs").select("output_id", R.sk_tokens(F.col("content")).alias("form"))
 
 
-@query()
+def _key_rules(text: str, number: int) -> str:
+    """The colon and the = rule of one key, line by line."""
+    key = R.KEYS[number]
+    after = f"substr(x, instr(x,'{key}')+{len(key)})"
+    rest = f"substr({after}, instr({after},':')+1)"
+    hit = f"instr(x,'{key}') > 0 AND instr({after},':') > 0 AND regexp_matches({rest}, '^[ \\t]*(?:\"[^\"]*\"|''[^'']*'')')"
+    colon = f"CASE WHEN {hit} THEN substr(x, 1, length(x) - length({rest})) || regexp_replace({rest}, '^([ \\t]*)(?:(\")[^\"]*\"|('')[^'']*'')', '\\1\\2\\3<redacted>\\2\\3') ELSE x END"
+    at = f"instr(y,'{key}')+{len(key)}"
+    assign = f"CASE WHEN instr(y,'{key}') > 0 AND substr(y, {at}, 1) = '=' THEN substr(y,1,{at}) || '<redacted>' || regexp_replace(substr(y,{at}+1), {S.q('^[^' + S.WS[1:-1] + ']*')}, '') ELSE y END"
+    return f"list_transform(list_transform({text}, lambda x: {colon}), lambda y: {assign})"
+
+
+def _all_rules() -> str:
+    steps, last = [], "home"
+    steps.append(f"home AS (SELECT output_id, {S.lines(chr(39).join(('replace(content, ', '/srv/lab', ', ', '~', ')')))} AS ls FROM tool_outputs WHERE content IS NOT NULL)")
+    for number in range(len(R.KEYS)):
+        steps.append(f"k{number} AS (SELECT output_id, {_key_rules('ls', number)} AS ls FROM {last})")
+        last = f"k{number}"
+    joined = S.replace("array_to_string(ls, chr(10))", S.WS + r"+\z")
+    return f"WITH {', '.join(steps)} SELECT t.output_id, CASE WHEN t.content IS NOT NULL THEN regexp_replace({joined}, 'sk-[A-Za-z0-9_-]{{8,}}', 'sk-<redacted>', 'g') END AS form FROM tool_outputs t LEFT JOIN {last} USING (output_id)"
+
+
+@query(_all_rules())
 def redact_all(spark, sf_dir):
-    """All export rules in order; their order over nine steps is tested on fixtures, not in SQL."""
+    """All export rules in order."""
     return table(spark, sf_dir, "tool_outputs").select("output_id", R.redact(F.col("content"), "/srv/lab").alias("form"))
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, {S.lines('text')} AS ls FROM documents WHERE text IS NOT NULL)),
+ f AS (SELECT *, starts_with({S.replace('x', '^' + S.WS + '+')}, '```') AS fence FROM l),
+ p AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY i) % 2 AS inside FROM f),
+ k AS (SELECT doc_id, string_agg(x || chr(10), '' ORDER BY i) AS form FROM p WHERE NOT fence AND inside = 0 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(form, '') END AS form FROM documents LEFT JOIN k USING (doc_id)"""
+)
 def strip_code_blocks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_code_blocks(F.col("text")).alias("form"))
 

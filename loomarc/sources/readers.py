@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomarc.functions.text import trim_unicode
+from loomarc.runtime import exists, small_or_shuffled
 
 QA_ITEM = "id string, score string, question string, golds array<string>"
 PROBE = "id string, question string, expect_contains array<string>"
@@ -20,20 +21,38 @@ SOURCE_ITEM = "input string, context string, answers array<string>, length bigin
 QA_RESULT = "id string, answer string, exact_match boolean, correct boolean, score string, f1 double, best_gold string, match_kind string"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line_no, line`` of text files; numbers count from 1 in each file, CR LF ends one line.
+
+    Files are read in splits. A line's number is its place in its split plus the lines of the
+    splits before it: places come from the row numbers Spark gives within a partition (a
+    split's rows follow one another there), the sums from one count per split. Lines are not shuffled.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path)
+    lines = scan.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value"
+    )
+    splits = lines.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = F.sum("_lines").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = splits.select("path", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    # One row per split of a file: bounded by the input's size over that of a split, and checked.
+    joined = lines.join(small_or_shuffled(placed), ["path", "_block"])
+    number = F.col("_row") - F.col("_first") + F.col("_before") + 1
+    return joined.select("path", number.alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+
+
 def session_lines(spark: SparkSession, path: str) -> DataFrame:
     """``session_id, line_no, byte_len, event`` of JSONL sessions, one file each.
 
-    Line numbers count from 1 and include blank lines, which are then left out. A file is
-    read as one value because only its start knows the line numbers. Bad JSON ends the
-    query with the line's number.
+    Line numbers count from 1 and include blank lines, which are then left out. Bad JSON ends
+    the query with the line's number. A file of any size is read in splits.
     """
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("session_id"), "value")
-    lines = files.select("session_id", F.posexplode(F.split("value", r"\r?\n", -1)).alias("at", "line"))
+    lines = numbered_lines(spark, path).withColumn("session_id", F.regexp_extract("path", "([^/]+)$", 1))
     kept = lines.where(trim_unicode(F.col("line")) != "")
     parsed = F.try_parse_json("line")
-    message = F.concat(F.lit("cannot parse "), F.col("session_id"), F.lit(" line "), (F.col("at") + 1).cast("string"))
+    message = F.concat(F.lit("cannot parse "), F.col("session_id"), F.lit(" line "), F.col("line_no").cast("string"))
     event = F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(message).cast("variant"))
-    return kept.select("session_id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.octet_length("line").cast("bigint").alias("byte_len"), event.alias("event"))
+    return kept.select("session_id", "line_no", F.octet_length("line").cast("bigint").alias("byte_len"), event.alias("event"))
 
 
 def string_field(event: Column, path: str) -> Column:
@@ -79,10 +98,10 @@ def variants(spark: SparkSession, path: str, max_width: float = 750.0, margin: f
 
 def source_items(spark: SparkSession, path: str) -> DataFrame:
     """Dataset items of ``<task>.jsonl`` files with ``task`` and ``position`` (line) in the file."""
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1).alias("task"), F.posexplode(F.split(F.trim("value"), "\n")).alias("position", "line"))
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
     item = F.from_json("line", SOURCE_ITEM, {"mode": "FAILFAST"})
-    return lines.where(F.col("line") != "").select("task", "position", item.alias("i")).select("task", "position", "i.*")
+    task = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("task")
+    return lines.select(task, (F.col("line_no") - 1).cast("int").alias("position"), item.alias("i")).select("task", "position", "i.*")
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
@@ -114,22 +133,22 @@ def manifest_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """Run manifests of a folder: its own ``run.json``, else those of its children, by name."""
-    own = os.path.join(root, "run.json")
-    path = own if os.path.exists(own) else os.path.join(root, "*", "run.json")
+    own = root.rstrip("/") + "/run.json"
+    path = own if exists(spark, own) else root.rstrip("/") + "/*/run.json"
     found = spark.read.option("multiLine", True).json(path)
     return found.withColumn("run_dir", F.regexp_extract(F.col("_metadata.file_path"), "(.*)/run.json$", 1)).orderBy("run_dir")
 
 
 def qa_results(spark: SparkSession, path: str) -> DataFrame:
     """Result rows with ``run_dir`` and ``position``, in file order."""
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.regexp_extract(F.col("_metadata.file_path"), "(.*)/[^/]+$", 1).alias("run_dir"), F.posexplode(F.split(F.trim("value"), "\n")).alias("position", "line"))
-    return lines.where(F.col("line") != "").select("run_dir", "position", F.from_json("line", QA_RESULT).alias("r")).select("run_dir", "position", "r.*")
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    folder = F.regexp_extract("path", "(.*)/[^/]+$", 1).alias("run_dir")
+    return lines.select(folder, (F.col("line_no") - 1).cast("int").alias("position"), F.from_json("line", QA_RESULT).alias("r")).select("run_dir", "position", "r.*")
 
 
 def frame_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path, frames, chars_per_frame`` of render manifests; a missing file has zeros."""
-    there = [p for p in paths if os.path.exists(p)]
+    there = [p for p in paths if exists(spark, p)]
     asked = spark.createDataFrame([(p,) for p in paths], "path string")
     if not there:
         return asked.select("path", F.lit(0).cast("bigint").alias("frames"), F.lit(0.0).alias("chars_per_frame"))
@@ -138,6 +157,13 @@ def frame_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
     return asked.join(stats, "path", "left").fillna(0)
 
 
+def result_summaries(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """(run summaries, when they were made) of a results file with ``generated_at`` and ``runs``."""
+    whole = spark.read.option("multiLine", True).json(path)
+    made = whole.select("generated_at").first() if "generated_at" in whole.columns else None
+    return whole.select(F.explode("runs").alias("r")).select("r.*"), made and made[0]
+
+
 def advance_widths(spark: SparkSession, path: str) -> DataFrame:
     """Advance widths of characters (``char string, advance float``), the layout's view of a font."""
     return spark.read.schema("char string, advance float").option("header", True).csv(path)

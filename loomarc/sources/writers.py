@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomarc.functions.text import safe_file_name, xml_escape, zero_pad
-
-
+from loomarc.functions.text import safe_file_name, zero_pad
+from loomarc.operators import summary as SU
 
 
 def carriers(texts: DataFrame, folder: str) -> None:
@@ -46,16 +47,43 @@ def matrix(results: DataFrame, rates: DataFrame, folder: str) -> None:
     _write(os.path.join(folder, "rates.md"), markdown_table(rates.columns, ([_cell(x) for x in row] for row in rows)))
 
 
-def frame_files(images: DataFrame, folder: str) -> None:
-    """Binary frames ``frame-%04d.png`` of ``frame_no, content``, written by the executors."""
-    os.makedirs(folder, exist_ok=True)
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """(file system, folder in it) of a local path or a URI of any storage the cluster shares."""
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
+
+
+def frame_files(images: DataFrame, folder: str) -> int:
+    """Binary frames ``frame-%04d.png`` of ``frame_no, content``, written by the executors; how many.
+
+    The folder must be one that all executors share. A task that runs again writes the same files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    named = images.select(F.concat(F.lit("frame-"), zero_pad(F.col("frame_no"), 4), F.lit(".png")).alias("name"), "content")
+    return named.mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def frame_manifests(layouts: DataFrame, settings: dict, folder: str, id_col: str) -> None:
+    """One manifest per text: the settings it was set with, its sizes and its frames."""
+    fixed = [F.lit(value).alias(name) for name, value in settings.items()]
+    pretty_json(layouts.select(id_col, *fixed, *[c for c in layouts.columns if c != id_col]), folder, id_col)
+
 
-    def put(rows) -> None:
-        for row in rows:
-            with open(os.path.join(folder, row["name"]), "wb") as file:
-                file.write(row["content"])
+def transcripts(scored: DataFrame, folder: str, id_col: str, output: str) -> DataFrame:
+    """Transcripts as text files below ``<id>=``, and their metrics as a frame of one JSON line each.
 
-    images.select(F.concat(F.lit("frame-"), zero_pad(F.col("frame_no"), 4), F.lit(".png")).alias("name"), "content").foreachPartition(put)
+    ``scored`` comes from ``scoring.ocr_scores``.
+    """
+    scored.select(F.col(id_col), F.coalesce(F.col(output), F.lit("")).alias("value")).write.mode("overwrite").partitionBy(id_col).option("lineSep", "\n").text(folder)
+    return scored.select(id_col, F.to_json(F.struct("strict", "normalized"), {"ignoreNullFields": "false"}).alias("metrics"))
 
 
 def case_files(cases: DataFrame, folder: str) -> None:
@@ -70,9 +98,20 @@ def case_files(cases: DataFrame, folder: str) -> None:
 
 
 def run_manifest(header: dict, cases: DataFrame, folder: str) -> None:
-    """A run's manifest; written last, so that a failed run has none."""
-    rows = [row.asDict(recursive=True) for row in cases.toLocalIterator()]
-    _write(os.path.join(folder, "run.json"), json.dumps({**header, "cases": rows}, ensure_ascii=False, indent=2) + "\n")
+    """A run's manifest; written last, so that a failed run has none.
+
+    Cases are written as they come from the executors, one partition at a time; the driver holds no list of them.
+    """
+    store, base = _store(folder)
+    store.create_dir(base, recursive=True)
+    head = json.dumps(header, ensure_ascii=False, indent=2)[:-2] if header else "{"
+    with store.open_output_stream(base + "/run.json") as out:
+        out.write((head + ("," if header else "") + '\n  "cases": [').encode())
+        first = True
+        for (line,) in cases.select(F.to_json(F.struct(*cases.columns), {"ignoreNullFields": "false"})).toLocalIterator():
+            out.write((("" if first else ",") + "\n    " + line).encode())
+            first = False
+        out.write(("]" if first else "\n  ]").encode() + b"\n}\n")
 
 
 def markdown_table(headers: Iterable[str], rows: Iterable[Iterable[str]]) -> str:
@@ -88,6 +127,47 @@ def markdown_leaderboard(summaries: DataFrame) -> str:
     return "# Leaderboard\n\n" + markdown_table(columns, ([_cell(x) for x in row] for row in rows)) + "\n"
 
 
+def markdown_report(summaries: DataFrame, cases: DataFrame, made: str = "", source: str = "", notes: Iterable[str] = ()) -> str:
+    """The report of a benchmark: what is kept, the leaderboard, tasks by run and the hard cases.
+
+    Rows are as many as runs, tasks, and cases the baseline run fails. The order of runs is that of
+    ``summary.report_order``.
+    """
+    ordered = [r.asDict() for r in SU.report_order(summaries).collect()]
+    kept = [r.asDict() for r in SU.report_order(SU.retention(summaries)).collect()]
+    tasks = SU.task_pivot(cases).orderBy("task")
+    hard = SU.low_cases(cases).orderBy("id").collect()
+    best = kept[0] if kept else None
+    line = f"The best image run ({best['run']}) keeps {percent(best['retention'])} of the text run's eligible F1." if best and best["retention"] is not None else "There is no pair of a text and an image run to compare."
+    parts = [
+        "# Benchmark report", f"Made {made} from `{source}`." if source else "", "## Summary", line,
+        markdown_table(["image run", "eligible F1", "kept", "all-case F1", "frames", "chars/frame"], [[r["run"], format_fixed(r["eligible_avg_f1"]), percent(r["retention"]), format_fixed(r["avg_f1"]), str(r["total_frames"]), format_fixed(r["avg_chars_per_frame"], 1)] for r in kept]) if kept else "",
+        "## Leaderboard",
+        markdown_table(["run", "eligible F1", "eligible cases", "avg F1", "correct", "exact", "semantic", "frames", "chars/frame"], [[r["run"], format_fixed(r["eligible_avg_f1"]), f"{r['eligible_cases']}/{r['cases']}", format_fixed(r["avg_f1"]), f"{r['correct']}/{r['cases']}", r["exact_correct"], r["semantic_correct"], str(r["total_frames"]), format_fixed(r["avg_chars_per_frame"], 1)] for r in ordered]),
+        "## Average F1 by task", markdown_table(tasks.columns, ([_cell(x) for x in row] for row in tasks.collect())),
+        "## Hard cases", markdown_table(["case", "task", "text F1", "match"], ([r["id"], r["task"], format_fixed(r["f1"]), r["match_kind"]] for r in hard)),
+        *(["## Notes", *(f"- {n}" for n in notes)] if notes else []),
+    ]
+    return "\n\n".join(p for p in parts if p) + "\n"
+
+
+def now_iso() -> str:
+    """The current time in UTC, to milliseconds; for headers only, never in what is compared."""
+    from datetime import UTC, datetime
+
+    return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def inside(root: str, path: str) -> str:
+    """A relative path below ``root``; an error where it would leave it."""
+    import posixpath
+
+    plain = posixpath.normpath(path.replace("\\", "/")).lstrip("/")
+    if plain == ".." or plain.startswith("../") or (len(plain) > 1 and plain[1] == ":"):
+        raise ValueError(f"{path!r} leaves {root}")
+    return posixpath.join(root, plain)
+
+
 def format_fixed(value: float | None, digits: int = 4) -> str:
     return "—" if value is None else f"{value:.{digits}f}"
 
@@ -101,6 +181,7 @@ def _cell(value) -> str:
 
 
 def _write(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        file.write(text)
+    store, target = _store(path)
+    store.create_dir(os.path.dirname(target), recursive=True)
+    with store.open_output_stream(target) as out:
+        out.write(text.encode())

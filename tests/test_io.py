@@ -83,3 +83,97 @@ def test_the_core_does_not_need_the_training_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "loomarc.llm" not in path.read_text(), path
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files read in many splits: numbers as if read in one piece, CR LF and blank lines included."""
+    texts = {f"s{k}.jsonl": "".join(f'{{"type":"t","n":{i},"pad":"{"x" * (i % 37)}"}}' + ("\r\n" if i % 3 else "\n") + ("\n" if i % 11 == 0 else "") for i in range(400 + k)) for k in range(3)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    (tmp_path / "empty.jsonl").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 20
+        got = {(r.path.rsplit("/", 1)[1], r.line_no): r.line for r in lines.collect()}
+        events = readers.session_events(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {(name, i + 1): line.removesuffix("\r") for name, text in texts.items() for i, line in enumerate(text.removesuffix("\n").split("\n"))}
+    assert got == want and events == sum(line != "" for line in want.values())
+    (tmp_path / "bad.jsonl").write_text('{"a":1}\n\n{bad\n')
+    with pytest.raises(Exception, match="cannot parse bad.jsonl line 3"):
+        readers.session_lines(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_sinks_of_frames_and_transcripts(spark, tmp_path):
+    from loomarc.operators import layout, scoring
+
+    texts = spark.createDataFrame([("a", "some text"), ("b", None)], "name string, text string")
+    laid = layout.frames(texts, "name", "text", layout.Variant())
+    writers.frame_manifests(laid, {"font": "f.ttf", "threshold": 0.3}, f"file://{tmp_path}/manifests", "name")
+    record = json.loads("".join(next((tmp_path / "manifests" / "name=a").glob("*.txt")).read_text()))
+    assert (record["font"], record["frame_count"], record["frames"][0]["chars"]) == ("f.ttf", 1, 9)
+    scored = scoring.ocr_scores(spark.createDataFrame([("a", "abc", "abd"), ("b", "x", None)], "name string, source string, out string"), "source", "out")
+    metrics = {r.name: json.loads(r.metrics) for r in writers.transcripts(scored, str(tmp_path / "t"), "name", "out").collect()}
+    assert metrics["a"]["strict"]["edit_distance"] == 1 and metrics["b"]["normalized"]["lcs_chars"] == 0
+    assert next((tmp_path / "t" / "name=a").glob("*.txt")).read_text().strip() == "abd"
+    assert writers.frame_files(spark.createDataFrame([(0, bytearray(b"y"))], "frame_no int, content binary"), f"file://{tmp_path}/f") == 1
+    assert (tmp_path / "f" / "frame-0000.png").read_bytes() == b"y"
+    writers.run_manifest({}, texts.limit(0), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none" / "run.json").read_text()) == {"cases": []}
+
+
+def test_report(spark, tmp_path):
+    from loomarc.operators import summary
+
+    rows = [("t", "text", "1", "x", "exact", True, True, 1.0, "exact", 0, 0.0), ("t", "text", "2", "y", "semantic", False, False, 0.5, "none", 0, 0.0), ("i", "image", "1", "x", "exact", True, False, 0.8, "none", 2, 10.0), ("j", "image", "1", "x", "exact", True, False, 0.8, "none", 2, 10.0)]
+    cases = spark.createDataFrame(rows, "run string, mode string, id string, task string, score string, correct boolean, exact_match boolean, f1 double, match_kind string, frames bigint, chars_per_frame double")
+    report = writers.markdown_report(summary.summarize(summary.with_eligibility(cases)), cases, "today", "results.json", ["a note"])
+    assert "(i) keeps 80.0%" in report and "| task | i | j | t |" in report and "| 2 | y | 0.5000 | none |" in report and "- a note" in report
+    assert report.index("| t | 1.0000") < report.index("| i | 0.8000 | 1/1") < report.index("| j | 0.8000 | 1/1")
+    none = writers.markdown_report(summary.summarize(summary.with_eligibility(cases.limit(0))), cases.limit(0))
+    assert "no pair" in none
+    (tmp_path / "r.json").write_text('{"generated_at":"now","runs":[{"run":"a"},{"run":"b"}]}')
+    found, made = readers.result_summaries(spark, str(tmp_path / "r.json"))
+    assert made == "now" and found.count() == 2
+
+
+def test_presets_axes_and_paths(spark):
+    from loomarc.operators import layout
+
+    assert layout.preset("text", "anything") is None and layout.preset("image").font_size == 24.0 and layout.preset("image", "zpix18-half-049-2000").frame_size == 2000
+    for mode, name in (("image", "nothing"), ("video", None)):
+        with pytest.raises(ValueError):
+            layout.preset(mode, name)
+    runs = spark.createDataFrame([("text", "x"), ("image", "zpix24-binary-2000")], "mode string, preset string")
+    assert [r.font_size for r in layout.with_presets(runs).orderBy("mode").collect()] == [24.0, None]
+    with pytest.raises(Exception, match="unknown preset x"):
+        layout.with_presets(runs.withColumn("mode", F.lit("image"))).collect()
+    at = spark.range(1).select(layout.axis(F.lit(90), 60, 120, 140, 1320).alias("x"), layout.axis(F.lit(0.98), 0.78, 0.98, 235, 475, True).alias("y")).first()
+    assert at["x"] == 800.0 and abs(at["y"] - 235) < 1e-9
+    assert writers.inside("/r", "a/../b.txt") == "/r/b.txt" and writers.inside("/r", "/a/b") == "/r/a/b"
+    for path in ("../x", "a/../../x", "..", "C:/x", "..\\x"):
+        with pytest.raises(ValueError):
+            writers.inside("/r", path)
+    assert writers.now_iso().endswith("Z") and len(writers.now_iso()) == 24
+
+
+def test_shown_buckets(spark):
+    from loomarc.operators import layout
+
+    rows = [(b, b / 1000, 100 - b, 0, 0.1, False) for b in range(20, 40)]
+    df = spark.createDataFrame(rows, "bucket int, coverage float, count bigint, black bigint, share double, survives boolean")
+    assert [r.bucket for r in layout.shown_buckets(df, 0.9).collect()] == [*range(20, 28)]
+    assert layout.shown_buckets(df, 0.03).count() == 20 and layout.shown_buckets(df.limit(0), 0.5).count() == 0
+
+
+def test_one_rule_for_markdown_marks(spark):
+    from loomarc.functions import text as T
+    from loomarc.operators.sessions import plain_prefix
+
+    lines = ["# a", "## # > - b", "> 1. c", "3.14 is", "- 1. x", "*x", "1.", "12", "  + \u3000y", "", "#", "> > z", "9.a b"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    got = [r.f for r in df.select("i", T.strip_markdown_prefix(F.col("x")).alias("f")).orderBy("i").collect()]
+    assert got == [plain_prefix(x) for x in lines]
