@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomarc.functions import redact as R
 from loomarc.functions import text as T
-from loomarc.operators.windows import marker_windows
+from loomarc.operators.windows import marker_windows, running_turns
 
 # Framing of the carriers.
 PARAGRAPH = " ¶\n"
@@ -230,8 +230,8 @@ def session_windows(events: DataFrame) -> DataFrame:
 def carriers(windowed: DataFrame, home: str | None = None) -> DataFrame:
     """One row per session and window: the three carriers, cleaned and redacted, and their statistics.
 
-    Pieces are collected per window and sorted by line; a window is the unit of export and
-    becomes one file, so its text has to fit one value.
+    Pieces are collected per window and sorted by line, so a window's text has to fit one value; for
+    windows that may not, ``carrier_pieces`` gives the same as rows.
     """
     is_message = F.coalesce(F.col("event_type") == "message", F.lit(False)) & F.col("message").isNotNull()
     flat = flatten_messages(windowed.withColumn("counts", is_message).withColumn("bytes", F.octet_length("message")))
@@ -266,6 +266,38 @@ def carriers(windowed: DataFrame, home: str | None = None) -> DataFrame:
     return texts
 
 
+#: What stands between the pieces of each carrier.
+JOINTS = {"serialized": "\n\n", "eventized": "\n\n", "structured": "\n"}
+
+
+def carrier_pieces(windowed: DataFrame, home: str | None = None) -> DataFrame:
+    """The carriers as ordered pieces: ``session_id, window_no, carrier, place, text``.
+
+    A piece is the part one message writes, cleaned and redacted; ``place`` orders the pieces of a carrier
+    (0 is the header of ``structured``). Joined by ``JOINTS`` they are the carriers. Turns are numbered
+    by running sums in two levels and nothing is collected, so a window of any size
+    is only ever rows; ``writers.carrier_stream`` writes them in order.
+    """
+    is_message = F.coalesce(F.col("event_type") == "message", F.lit(False)) & F.col("message").isNotNull()
+    flat = flatten_messages(windowed.where(is_message).select("session_id", "window_no", "line_no", "message")).drop("is_message")
+    speaker = F.when(F.col("role") == "user", "U: ").when(F.col("role") == "assistant", "A: ")
+    said = F.when(speaker.isNotNull() & (F.col("body") != ""), F.concat(speaker, F.col("body")))
+    keyed = flat.select("session_id", "window_no", "line_no", "section", said.alias("said"), F.concat_ws("\0", "session_id", F.col("window_no").cast("string")).alias("_key"))
+    numbered = running_turns(keyed, "_key", "line_no", F.coalesce("said", F.lit("")))
+    turn = F.concat(F.lit("｜ T"), T.zero_pad(F.col("turn_no"), 3), F.lit(" "), F.col("said"))
+    part = lambda name, place, text: F.struct(F.lit(name).alias("carrier"), place.cast("bigint").alias("place"), text.alias("text"))
+    line = F.col("line_no") + 1
+    spoken = F.col("said").isNotNull()
+    parts = F.array(
+        F.when(F.col("section") != "", part("serialized", line, F.col("section"))),
+        F.when(spoken, part("eventized", line, F.col("said"))),
+        F.when(spoken & (F.col("turn_no") == 1), part("structured", F.lit(0), F.lit(STREAM_HEADER))),
+        F.when(spoken, part("structured", line, turn)),
+    )
+    rows = numbered.select("session_id", "window_no", F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p")).select("session_id", "window_no", "p.*")
+    return rows.withColumn("text", R.redact(T.normalize_archive(F.col("text")), home))
+
+
 def window_metadata(texts: DataFrame, events: DataFrame) -> DataFrame:
     """Statistics of each window with the line, tokens and time of its closing event."""
     closing = events.where(F.col("event_type") == "compaction").select("session_id", F.col("line_no").alias("end_line"), "tokens_before", "event_ts")

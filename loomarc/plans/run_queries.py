@@ -18,7 +18,7 @@ from loomarc.runtime import materialize, small_or_shuffled, table
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 DAY = 86_400_000_000
-PROBES = [("p1", ["A"]), ("p2", ["E", "A"]), ("p3", [])]
+PROBES = [("p1", ["f1568"]), ("p2", ["mono", "l2"]), ("p3", [])]
 
 
 def query(oracle: str | None = None):
@@ -86,12 +86,12 @@ def variant_pass_rate(spark, sf_dir):
     return SC.pass_rates(SC.probe_results(rows), "variant")
 
 
-@query("SELECT r_name AS variant, p.id, len(list_filter(p.e, lambda x: NOT contains(r_name, x))) = 0 AS passed FROM region, (VALUES ('p1',['A']),('p2',['E','A']),('p3',[]::VARCHAR[])) p(id,e)")
+@query("SELECT variant, p.id, len(list_filter(p.e, lambda x: NOT contains(variant, x))) = 0 AS passed FROM (SELECT DISTINCT variant FROM recall_answers WHERE variant IS NOT NULL), (VALUES ('p1',['f1568']),('p2',['mono','l2']),('p3',[]::VARCHAR[])) p(id,e)")
 def variant_probe_matrix(spark, sf_dir):
-    """Every variant (region names stand for them) with every one of three fixed probes."""
+    """Every variant (its name stands for its transcript) with every one of three fixed probes; both are settings."""
     probes = spark.createDataFrame(PROBES, "id string, expect_contains array<string>")
-    variants = table(spark, sf_dir, "region").select(F.col("r_name").alias("variant"), F.col("r_name").alias("answer"))
-    return SC.probe_results(SU.variant_probes(variants, probes)).select("variant", "id", "passed")
+    names = table(spark, sf_dir, "recall_answers").select("variant").where(F.col("variant").isNotNull()).distinct()
+    return SC.probe_results(SU.variant_probes(names.withColumn("answer", F.col("variant")), probes)).select("variant", "id", "passed")
 
 
 @query()
@@ -264,6 +264,18 @@ def session_carriers(spark, sf_dir):
     return _carriers(spark, sf_dir).select("session_id", "window_no", "turns", "serialized", "eventized", "structured", "serialized_chars", "eventized_chars", "structured_chars")
 
 
+@query(_LATEST + """SELECT session_id, window_no, true AS serialized, true AS eventized, true AS structured FROM w WHERE NOT m AND window_no < total GROUP BY session_id, window_no""")
+def carrier_piece_checks(spark, sf_dir):
+    """The streamed pieces of every window, put together, are its carriers (digests, so texts are not kept twice)."""
+    windowed = SE.session_windows(SE.latest_lines(table(spark, sf_dir, "session_events")))
+    pieces = SE.carrier_pieces(windowed).withColumn("piece", F.struct("place", "text"))
+    digest = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("carrier") == c, F.col("piece")))), lambda x: x["text"]), SE.JOINTS[c]))
+    put = pieces.groupBy("session_id", "window_no").agg(*[digest(c).alias(f"_{c}") for c in SE.JOINTS])
+    whole = SE.carriers(windowed).select("session_id", "window_no", *[F.md5(c).alias(c) for c in SE.JOINTS])
+    both = whole.join(put, ["session_id", "window_no"], "left")
+    return both.select("session_id", "window_no", *[(F.col(c) == F.coalesce(f"_{c}", F.md5(F.lit("")))).alias(c) for c in SE.JOINTS])
+
+
 @query(_LATEST + """SELECT session_id, window_no, true AS framed, true AS numbered, true AS separated, true AS trimmed, true AS redacted, true AS measured
 FROM w WHERE NOT m AND window_no < total GROUP BY session_id, window_no""")
 def carrier_checks(spark, sf_dir):
@@ -396,13 +408,21 @@ def image_prompts(spark, sf_dir):
 
 # --- layout --------------------------------------------------------------------------
 
-_BUCKETS = """WITH b AS (SELECT greatest(1, floor((l_discount::FLOAT * 1000::FLOAT)::FLOAT + 0.5::FLOAT)::INT) AS bucket, count(*) AS count, count(*) FILTER (l_discount::FLOAT > 0.05::FLOAT) AS black
- FROM lineitem WHERE l_discount::FLOAT > 0 GROUP BY 1), h AS (SELECT bucket, (bucket::FLOAT / 1000::FLOAT)::FLOAT AS coverage, count, black, count::DOUBLE / (sum(count) OVER ())::DOUBLE AS share, (bucket::FLOAT / 1000::FLOAT)::FLOAT > 0.05::FLOAT AS survives FROM b)
+def _buckets(value: str, threshold: str) -> str:
+    """The histogram in SQL (single precision throughout)."""
+    return f"""WITH v AS (SELECT ({value})::FLOAT AS x FROM lineitem), b AS (SELECT greatest(1, floor((least(1::FLOAT, x) * 1000::FLOAT)::FLOAT + 0.5::FLOAT)::INT) AS bucket, count(*) AS count, count(*) FILTER (x > {threshold}::FLOAT) AS black
+ FROM v WHERE x > 0 GROUP BY 1), h AS (SELECT bucket, (bucket::FLOAT / 1000::FLOAT)::FLOAT AS coverage, count, black, count::DOUBLE / (sum(count) OVER ())::DOUBLE AS share, (bucket::FLOAT / 1000::FLOAT)::FLOAT > {threshold}::FLOAT AS survives FROM b)
 """
 
 
+#: The last three digits of a price stand for a pixel's coverage.
+_BUCKETS = _buckets("(l_extendedprice - floor(l_extendedprice / 1000) * 1000) / 1000", "0.05")
+_FEW = _buckets("l_discount", "0.05")
+
+
 def _histogram(spark, sf_dir):
-    return LO.histogram(table(spark, sf_dir, "lineitem").select("l_discount"), "l_discount", 0.05)
+    price = F.col("l_extendedprice")
+    return LO.histogram(table(spark, sf_dir, "lineitem").select(((price - F.floor(price / 1000) * 1000) / 1000).alias("coverage")), "coverage", 0.05)
 
 
 @query(_BUCKETS + "SELECT * FROM h")
@@ -420,10 +440,10 @@ def near_threshold(spark, sf_dir):
     return LO.near_threshold(_histogram(spark, sf_dir), 0.05)
 
 
-@query(_BUCKETS + "SELECT * FROM h WHERE abs(coverage - 0.5::FLOAT)::FLOAT <= 0.03::FLOAT UNION ALL SELECT * FROM (SELECT * FROM h WHERE coverage >= 0.01::FLOAT AND coverage < 0.999::FLOAT ORDER BY count DESC, bucket LIMIT 8) WHERE NOT EXISTS (SELECT 1 FROM h WHERE abs(coverage - 0.5::FLOAT)::FLOAT <= 0.03::FLOAT)")
+@query(_FEW + "SELECT * FROM h WHERE abs(coverage - 0.5::FLOAT)::FLOAT <= 0.03::FLOAT UNION ALL SELECT * FROM (SELECT * FROM h WHERE coverage >= 0.01::FLOAT AND coverage < 0.999::FLOAT ORDER BY count DESC, bucket LIMIT 8) WHERE NOT EXISTS (SELECT 1 FROM h WHERE abs(coverage - 0.5::FLOAT)::FLOAT <= 0.03::FLOAT)")
 def shown_buckets(spark, sf_dir):
     """Nothing lies near this threshold, so the eight fullest buckets are shown."""
-    return LO.shown_buckets(_histogram(spark, sf_dir), 0.5)
+    return LO.shown_buckets(LO.histogram(table(spark, sf_dir, "lineitem").select("l_discount"), "l_discount", 0.05), 0.5)
 
 
 @query("SELECT manifest_id, 140 + (font_size::DOUBLE - 6) / 30 * 1320 AS x, 235 + (1 - (threshold::DOUBLE - 0) / 1) * 475 AS y FROM archive_manifests")

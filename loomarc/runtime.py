@@ -41,9 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``discard_scratch`` deletes what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete all scratch this process wrote. Frames that were read from it are of no use any more."""
+    while _SCRATCH:
+        discard(spark, _SCRATCH.pop())
 
 
 def _files(spark: SparkSession, path: str):
@@ -110,17 +121,23 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def fits_broadcast(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
-    """Whether the optimizer's size estimate of a frame is below a bound.
+#: How much larger rows are in memory than the files they are read from (compressed columns; measured: 9).
+EXPANSION = 9
+#: Bytes in memory up to which a join side is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame is expected to take no more than a bound in memory.
 
-    The estimate of a scan is its file size (columns pruned proportionally); joins and
-    generators over-estimate, which errs on the side of a shuffle.
+    The optimizer's estimate of a scan is its file size (columns pruned proportionally), so it is
+    scaled by ``EXPANSION``; joins and generators over-estimate, which errs on the side of a shuffle.
     """
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) <= limit_bytes
+    return int(str(stats.sizeInBytes())) * EXPANSION <= limit_bytes
 
 
-def small_or_shuffled(df: DataFrame, limit_bytes: int = 64 << 20) -> DataFrame:
+def small_or_shuffled(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a join side for broadcast only when its estimated size is below the bound."""
     return F.broadcast(df) if fits_broadcast(df, limit_bytes) else df
 

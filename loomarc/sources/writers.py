@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomarc.functions.text import safe_file_name, zero_pad
@@ -22,6 +22,18 @@ def carriers(texts: DataFrame, folder: str) -> None:
     long.select("session_id", "window_no", "c.*").write.mode("overwrite").partitionBy("session_id", "window_no", "carrier").option("lineSep", "\n").text(folder)
 
 
+def carrier_stream(pieces: DataFrame, folder: str) -> None:
+    """The carriers from their pieces (``sessions.carrier_pieces``), one text file each.
+
+    A carrier's pieces meet in one task and are sorted there, which spills to disk: no text is held as a
+    whole, however large its window.
+    """
+    joint = F.when(F.col("carrier") == "structured", F.col("text")).otherwise(F.when(F.row_number().over(Window.partitionBy("session_id", "window_no", "carrier").orderBy("place")) > 1, F.concat(F.lit("\n"), "text")).otherwise(F.col("text")))
+    ordered = pieces.withColumn("value", joint).sortWithinPartitions("session_id", "window_no", "carrier", "place")
+    rows = ordered.select("session_id", "window_no", "carrier", "value")
+    rows.write.mode("overwrite").partitionBy("session_id", "window_no", "carrier").option("lineSep", "\n").text(folder)
+
+
 def pretty_json(df: DataFrame, folder: str, *partition_by: str) -> None:
     """One pretty-printed JSON record per row."""
     kept = [c for c in df.columns if c not in partition_by]

@@ -1,6 +1,6 @@
 """Extension: running window statistics over a stream of session events.
 
-The reference capability works on finished files; this is the same grouping for rows that
+Export works on finished files; this is the same grouping for rows that
 are still arriving. Counts per session and event-time window are partial aggregates with a
 watermark, so state is bounded by the lateness allowed.
 """
@@ -16,7 +16,9 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path + "*")
+    # A stream reads folders and patterns: braces around the last name are a pattern of that name alone.
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return reader.parquet(f"{folder}/{{{name}}}" if folder else f"{{{name}}}")
 
 
 def activity(events: DataFrame, every: str = "1 day", lateness: str = "1 day") -> DataFrame:

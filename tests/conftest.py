@@ -12,11 +12,12 @@ os.environ.setdefault("TZ", "UTC")
 
 @pytest.fixture(scope="session")
 def spark():
-    from loomarc.runtime import local_session
+    from loomarc.runtime import discard_scratch, local_session
 
     session = local_session(4, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    discard_scratch(session)
     session.stop()
 
 

@@ -22,7 +22,7 @@ def test_flatten():
     assert SE.flatten(None, False) == "" and SE.flatten({"a": 1}, True) == '{"a":1}'
 
 
-def test_carriers(spark):
+def test_carriers(spark, tmp_path):
     msg = lambda **k: json.dumps(k)
     rows = [
         ("s", 1, "message", msg(role="user", content="Hello  *there*\n")), ("s", 2, "message", msg(role="assistant", content=[{"type": "text", "text": "Hi"}, {"type": "toolCall"}])),
@@ -37,6 +37,17 @@ def test_carriers(spark):
     assert first["structured"] == "ARCHIVE EVENT STREAM\n｜ T001 U: Hello there\n｜ T002 A: Hi"
     assert first["serialized"] == "# User ¶\nHello  *there*\n\n# Assistant ¶\nHi\n# Tool call tool unknown\n{}\n\n# Tool result c1 ¶\n<out>\nout TOKEN=<redacted>\n</out>"
     assert (first["event_count"], first["message_count"], first["user_messages"], first["tool_results"], first["turns"]) == (5, 4, 1, 1, 2)
+    pieces = SE.carrier_pieces(SE.session_windows(events))
+    for n, row in got.items():
+        for name, joint in SE.JOINTS.items():
+            own = sorted((p.place, p.text) for p in pieces.collect() if (p.window_no, p.carrier) == (n, name))
+            assert joint.join(t for _, t in own) == row[name]
+    from loomarc.sources import writers
+
+    writers.carrier_stream(pieces, str(tmp_path / "c"))
+    for name in SE.JOINTS:
+        files = list((tmp_path / "c" / "session_id=s" / "window_no=0" / f"carrier={name}").glob("*.txt"))
+        assert len(files) == 1 and files[0].read_text(encoding="utf-8") == first[name] + "\n"
     meta = {r["window_no"]: r for r in SE.window_metadata(SE.carriers(SE.session_windows(events)), events).collect()}
     assert (meta[0]["start_line"], meta[0]["end_line"], meta[1]["end_line"]) == (1, 6, 9)
 
