@@ -417,7 +417,7 @@ def turns(rows: DataFrame, judged: DataFrame) -> DataFrame:
     )
     kept = latest.mapInArrow(run, TURNS)
     block = F.floor(F.col("line_no") / LINES_PER_BLOCK).alias("block")
-    counts = kept.groupBy("window_id", block).agg(F.count(F.lit(1)).alias("n"))
+    counts = latest.groupBy("window_id", block).agg(F.count(F.lit(1)).alias("n"))  # of lines, before texts are read
     before = F.sum("n").over(Window.partitionBy("window_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("window_id", "block", F.coalesce(before, F.lit(0)).alias("offset"))
     within = F.row_number().over(Window.partitionBy("window_id", "block").orderBy("line_no")) - 1
