@@ -15,6 +15,9 @@ import numpy as np
 class DoubleArrayTrie:
     """Static trie in two integer arrays: child = base[node] + byte + 1, valid if check[child] is the node."""
 
+    #: Slots searched at once for a node's children.
+    WINDOW = 2048
+
     def __init__(self, keys: list[bytes]):
         order = sorted(range(len(keys)), key=lambda i: keys[i])
         size = max(1024, 2 * sum(map(len, keys)) + 512)
@@ -45,17 +48,21 @@ class DoubleArrayTrie:
             while free < len(taken) and taken[free]:
                 free += 1
             codes = np.array([byte + 1 for byte, _, _ in children])
-            base = max(1, free - int(codes[0]))
-            while True:
-                if base + 257 >= len(taken):
+            base, at = 0, free
+            while not base:
+                while at + self.WINDOW + 512 >= len(taken):
                     grow = len(taken)
                     self.base = np.concatenate([self.base, np.zeros(grow, np.int64)])
                     self.check = np.concatenate([self.check, np.full(grow, -1, np.int64)])
                     self.value = np.concatenate([self.value, np.full(grow, -1, np.int64)])
                     taken = np.concatenate([taken, np.zeros(grow, bool)])
-                if not taken[base + codes].any():
-                    break
-                base += 1
+                # All places of the first child in a window are tried at once.
+                tried = at + np.flatnonzero(~taken[at : at + self.WINDOW]) - codes[0]
+                tried = tried[tried >= 1]
+                for code in codes[1:]:
+                    tried = tried[~taken[tried + code]]
+                base = int(tried[0]) if len(tried) else 0
+                at += self.WINDOW
             self.base[node] = base
             taken[base + codes] = True
             for byte, i, j in children:
