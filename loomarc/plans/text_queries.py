@@ -66,9 +66,9 @@ def compact_headings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.compact_headings(F.col("text")).alias("form"))
 
 
-@query(f"SELECT doc_id, {S.trim(f'array_to_string(list_transform({S.lines(chr(116) + chr(101) + chr(120) + chr(116))}, lambda x: {S.replace(chr(120), S.WS + chr(43) + chr(36))}), chr(10))')} AS form FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {S.trim(f'array_to_string(list_transform({S.lines(chr(116) + chr(101) + chr(120) + chr(116))}, lambda x: {S.replace(chr(120), S.WS + chr(43) + chr(36))}), chr(10))')} AS form FROM documents")
 def normalize_archive(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", T.normalize_archive(F.col("text")).alias("form"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_archive(F.col("text")).alias("form"))
 
 
 @query(
@@ -107,10 +107,11 @@ def ocr_form(spark, sf_dir):
 _CLAUSES = f"list_filter(list_transform(regexp_split_to_array(best_gold, {S.q(S.WS[:-1] + '，、。,;；]')}), lambda x: {S.normalize('x')}), lambda x: length(x) >= 2)"
 
 
-@query(f"SELECT answer_id, len({_CLAUSES}) AS clauses, len({_CLAUSES}) > 0 AND len(list_filter({_CLAUSES}, lambda c: NOT contains({S.normalize('answer')}, c))) = 0 AS holds FROM recall_answers WHERE answer IS NOT NULL AND best_gold IS NOT NULL")
+@query(f"""SELECT answer_id, len({_CLAUSES}) AS clauses, CASE WHEN len({_CLAUSES}) = 0 THEN false WHEN best_gold IS NOT NULL AND answer IS NOT NULL
+ THEN len(list_filter({_CLAUSES}, lambda c: NOT contains({S.normalize('answer')}, c))) = 0 END AS holds FROM recall_answers""")
 def clause_match(spark, sf_dir):
-    rows = table(spark, sf_dir, "recall_answers").where(F.col("answer").isNotNull() & F.col("best_gold").isNotNull())
-    return rows.select(
+    """Null where the gold is, or where a missing answer would have to hold clauses."""
+    return table(spark, sf_dir, "recall_answers").select(
         "answer_id", F.size(T.clauses(F.col("best_gold"))).cast("bigint").alias("clauses"),
         T.clauses_match(T.normalize_answer(F.col("answer")), F.col("best_gold")).alias("holds"),
     )
@@ -212,12 +213,11 @@ def edit_distance(spark, sf_dir):
     return table(spark, sf_dir, "recall_answers").select("answer_id", F.levenshtein("variant", "qa_id").cast("bigint").alias("distance"))
 
 
-_PAIR = f"WITH p AS (SELECT answer_id, {S.normalize('answer')} AS a, {S.normalize('best_gold')} AS b FROM recall_answers WHERE answer IS NOT NULL AND best_gold IS NOT NULL), l AS (SELECT *, string_split(a,'') AS x, string_split(b,'') AS y FROM p), c AS (SELECT *, CASE WHEN a = '' OR b = '' THEN 0 ELSE {S.lcs('x', 'y')} END AS common FROM l) "
+_PAIR = f"WITH p AS (SELECT answer_id, {S.normalize('answer')} AS a, {S.normalize('best_gold')} AS b FROM recall_answers), l AS (SELECT *, string_split(a,'') AS x, string_split(b,'') AS y FROM p), c AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = '' OR b = '' THEN 0 ELSE {S.lcs('x', 'y')} END AS common FROM l) "
 
 
 def _pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "recall_answers").where(F.col("answer").isNotNull() & F.col("best_gold").isNotNull())
-    return rows.select("answer_id", T.normalize_answer(F.col("answer")).alias("a"), T.normalize_answer(F.col("best_gold")).alias("b"))
+    return table(spark, sf_dir, "recall_answers").select("answer_id", T.normalize_answer(F.col("answer")).alias("a"), T.normalize_answer(F.col("best_gold")).alias("b"))
 
 
 @query(_PAIR + "SELECT answer_id, common FROM c")
@@ -225,15 +225,14 @@ def lcs_length(spark, sf_dir):
     return _pairs(spark, sf_dir).select("answer_id", L.lcs("a", "b").alias("common"))
 
 
-@query(_PAIR + f"SELECT answer_id, {S.f1('a', 'b', 'common')} AS f1 FROM c")
+@query(_PAIR + f", n AS (SELECT answer_id, coalesce(a, '') AS a, coalesce(b, '') AS b, common FROM c) SELECT answer_id, {S.f1('a', 'b', 'common')} AS f1 FROM n")
 def char_f1(spark, sf_dir):
     return _pairs(spark, sf_dir).select("answer_id", L.f1("a", "b").alias("f1"))
 
 
-@query("SELECT output_id, 'data:' || CASE WHEN regexp_matches(lower(file_path), '\\.jpe?g$') THEN 'image/jpeg' ELSE 'image/png' END || ';base64,' || base64(encode(content)) AS url FROM tool_outputs WHERE file_path IS NOT NULL")
+@query("SELECT output_id, 'data:' || CASE WHEN regexp_matches(lower(file_path), '\\.jpe?g$') THEN 'image/jpeg' ELSE 'image/png' END || ';base64,' || base64(encode(content)) AS url FROM tool_outputs")
 def image_data_url(spark, sf_dir):
-    rows = table(spark, sf_dir, "tool_outputs").where(F.col("file_path").isNotNull())
-    return rows.select("output_id", data_url(F.col("file_path"), F.col("content").cast("binary")).alias("url"))
+    return table(spark, sf_dir, "tool_outputs").select("output_id", data_url(F.col("file_path"), F.col("content").cast("binary")).alias("url"))
 
 
 @query("SELECT answer_id, replace(replace(replace(replace(answer,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;') AS form FROM recall_answers")
